@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm.distinctive_terms import residual_idf
-from lexiloom.llm.equal_looking import disguised_copies
+from lexiloom.llm.equal_looking import consistent_texts, disguised_copies
 from lexiloom.llm.format_copies import collapse_copies, copy_pairs
 from lexiloom.llm.frequent_items import notable_items
+from lexiloom.llm.language_id import LanguageModel, document_languages, mislabelled_paragraphs, refine_language_model, train_language_model
+from lexiloom.llm.mixing import mix_report, mix_sources
+from lexiloom.llm.packing import fill_report, pack
+from lexiloom.llm.reading_level import bands, reading_levels, train_reading_model
 from lexiloom.llm.term_frequency import mark_terms, ngram_frequency
+from lexiloom.llm.token_sizes import token_sizes
 from lexiloom.llm.top_items import top_items
-from lexiloom.storage import read_table
+from lexiloom.storage import materialise, read_table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,6 +72,27 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return disguised_copies(read_table(spark, d, "documents"))
 
 
+def p5_consistent_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text in one form."""
+    return consistent_texts(read_table(spark, d, "documents")).select("doc_id", "text")
+
+
+def _languages(spark: SparkSession, d: str) -> LanguageModel:
+    samples = read_table(spark, d, "lang_samples")
+    return refine_language_model(train_language_model(samples), samples, read_table(spark, d, "documents"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs in another language than the one the document's label names."""
+    found = mislabelled_paragraphs(read_table(spark, d, "documents"), _languages(spark, d))
+    return found.select("doc_id", "seg_no", "lang").distinct()
+
+
+def p6_document_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The main language of every document, with a confidence."""
+    return document_languages(read_table(spark, d, "documents"), _languages(spark, d))
+
+
 def _distinctive(spark: SparkSession, d: str) -> DataFrame:
     sizes = read_table(spark, d, "models").select("run_id", F.col("n_topics").alias("n_records"))
     return residual_idf(read_table(spark, d, "phi"), "run_id", "topic", "word_id", "phi", sizes)
@@ -81,7 +107,48 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_distinctive_words(spark: SparkSession, d: str) -> DataFrame:
     """Every word of every topic with its score."""
     scored = _distinctive(spark, d)
-    return scored.select("run_id", "topic", "word_id", "phi", F.round("total", 6).alias("total"), "records", F.round("ridf", 6).alias("ridf"), F.round("score", 5).alias("score"))
+    return scored.select("run_id", "topic", "word_id", "phi", F.round("total", 10).alias("total"), "records", F.round("ridf", 6).alias("ridf"), F.round("score", 5).alias("score"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = materialise(token_sizes(read_table(spark, d, "documents")), "token-sizes")
+    return pack(sizes, read_table(spark, d, "pack_specs"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's place in the containers of every capacity."""
+    return _packed(spark, d)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of every capacity are."""
+    return fill_report(_packed(spark, d), read_table(spark, d, "pack_specs"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is used in the mix."""
+    return mix_sources(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the mix that each source reaches."""
+    targets = read_table(spark, d, "mix_targets")
+    return mix_report(materialise(mix_sources(read_table(spark, d, "documents"), targets), "mixture"), targets)
+
+
+def _reading(spark: SparkSession, d: str) -> DataFrame:
+    model = train_reading_model(read_table(spark, d, "reading_samples"))
+    return reading_levels(read_table(spark, d, "documents"), model, _languages(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """English documents whose sentences are mostly easy, or mostly hard."""
+    return bands(_reading(spark, d))
+
+
+def p10_reading_level(spark: SparkSession, d: str) -> DataFrame:
+    """The level of every document and the spread of its sentences' surprisal."""
+    return _reading(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
