@@ -107,7 +107,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_distinctive_words(spark: SparkSession, d: str) -> DataFrame:
     """Every word of every topic with its score."""
     scored = _distinctive(spark, d)
-    return scored.select("run_id", "topic", "word_id", "phi", F.round("total", 10).alias("total"), "records", F.round("ridf", 6).alias("ridf"), F.round("score", 5).alias("score"))
+    return scored.select("run_id", "topic", "word_id", "phi", F.round("total", 14).alias("total"), "records", F.round("ridf", 6).alias("ridf"), F.round("score", 9).alias("score"))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
