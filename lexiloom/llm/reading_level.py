@@ -32,6 +32,8 @@ BUCKETS = 1 << 16
 WORD_LIMIT = 4.0
 #: Weight of a word that no sample holds, such as a name.
 STRANGER = 0.2
+#: Words that the surprisal of a sentence's length counts for.
+LENGTH_WORDS = 2.0
 #: Words of a sentence that count as independent evidence.
 EVIDENCE = 6.0
 #: Bins of sentences that the isotonic map is fitted to, so that no single one sets a knot.
@@ -98,17 +100,26 @@ class NgramModel:
     seen: np.ndarray
     kinds: np.ndarray
     counts: np.ndarray
+    #: Mean and deviation of the logarithm of a sentence's words.
+    length: tuple[float, float]
 
     @staticmethod
     def fit(texts: list[str]) -> NgramModel:
-        codes, _ = _codes([_spelled(x) for x in texts])
+        spelled = [_spelled(x) for x in texts]
+        size = np.log([len(x.split()) + 1 for x in spelled])
+        codes, _ = _codes(spelled)
         seen, kinds, counts = (np.zeros((ORDER + 1, BUCKETS), np.float32) for _ in range(3))
         for m, (context, symbol) in enumerate(_hashes(codes)):
             seen[m] = np.bincount(context, minlength=BUCKETS)
             counts[m] = np.bincount(symbol, minlength=BUCKETS)
             pairs = np.unique(context << 16 | symbol)
             kinds[m] = np.bincount(pairs >> 16, minlength=BUCKETS)
-        return NgramModel(seen, kinds, counts)
+        return NgramModel(seen, kinds, counts, (float(size.mean()), float(size.std()) + 0.1))
+
+    def length_bits(self, words: np.ndarray) -> np.ndarray:
+        """Bits of sentences having so many words."""
+        mean, deviation = self.length
+        return np.square((np.log(words + 1) - mean) / deviation) / (2 * np.log(2)) + np.log2(deviation)
 
     def surprisal(self, hashes: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Bits of every symbol."""
@@ -171,8 +182,10 @@ def _surprisals(models: tuple[NgramModel, ...], vocabulary: frozenset[str], text
     excess = np.minimum(by_word - by_word.min(axis=1, keepdims=True, initial=np.inf), WORD_LIMIT)
     weight = np.array([1.0 if w in vocabulary or not w else STRANGER for x in spelled for w in x.split(" ")[:-1]])
     of = owner[ends]
-    n_words = np.maximum(np.bincount(of, weight, len(texts)), STRANGER)
-    mean = np.stack([np.bincount(of, excess[:, k] * weight, len(texts)) / n_words for k in range(len(models))], axis=1)
+    length = np.stack([m.length_bits(np.bincount(of, minlength=len(texts)) - 1) for m in models], axis=1)
+    length = np.minimum(length - length.min(axis=1, keepdims=True), WORD_LIMIT) * LENGTH_WORDS
+    n_words = np.bincount(of, weight, len(texts)) + LENGTH_WORDS
+    mean = np.stack([(np.bincount(of, excess[:, k] * weight, len(texts)) + length[:, k]) / n_words for k in range(len(models))], axis=1)
     return np.bincount(owner, bits[0], len(texts)) / np.maximum(np.bincount(owner, minlength=len(texts)), 1), mean
 
 
