@@ -50,38 +50,44 @@ def plan_row_groups(meta: pq.FileMetaData, keys: list[str], score: str) -> list[
     return sorted(plan, key=lambda x: (-x[0], x[2]))
 
 
-def select_top(files: list[str], keys: list[str], item: str, score: str, n: int, seen: dict | None = None) -> pd.DataFrame:
-    """The best ``n`` items of every group over these files, in order of reading.
+def _cut(rows: pd.DataFrame, keys: list[str], item: str, score: str, n: int) -> pd.DataFrame:
+    """The best ``n`` items of every group, groups in order, each item once."""
+    rows = rows.sort_values([*keys, score, item], ascending=[True] * len(keys) + [False, False], kind="stable", na_position="first")
+    return rows.drop_duplicates([*keys, item]).groupby(keys, sort=False, dropna=False).head(n)
 
-    ``seen``, if given, counts the row groups that were read and skipped.
-    """
-    best = pd.DataFrame()
-    reached: dict[tuple, float] = {}
-    held: list[pd.DataFrame] = []
 
-    def settle() -> None:
-        nonlocal best, held
-        rows = pd.concat([best, *held]).sort_values([*keys, score, item], ascending=[True] * len(keys) + [False, False], kind="stable", na_position="first")
-        rows = rows.drop_duplicates([*keys, item])
-        best, held = rows.groupby(keys, sort=False, dropna=False).head(n), []
-        place = best.groupby(keys, sort=False, dropna=False).cumcount()
-        full = best[place == n - 1]
-        reached.update(zip(full[keys].itertuples(index=False, name=None), full[score]))
+def select_top(files: list[str], keys: list[str], item: str, score: str, n: int, seen: dict | None = None) -> Iterator[pd.DataFrame]:
+    """The best ``n`` items of every group over these files, in frames.
 
+    Groups are clustered, so all but the first and the last of a row group are
+    complete in it; only the best rows of those two are kept, each with the score that
+    its n-th item has reached.  ``seen``, if given, counts the row groups read and skipped.
+    """
+    seen = {} if seen is None else seen
+    best: dict[tuple, pd.DataFrame] = {}
+    reached: dict[tuple, float] = {}
     for uri in files:
         fs, path = pafs.FileSystem.from_uri(uri)
         with fs.open_input_file(path) as source:
             table = pq.ParquetFile(source)
             for top, group, g in plan_row_groups(table.metadata, keys, score):
                 if group is not None and top < reached.get(group, float("-inf")):
-                    if seen is not None:
-                        seen["skipped"] = seen.get("skipped", 0) + 1
+                    seen["skipped"] = seen.get("skipped", 0) + 1
                     continue
-                if seen is not None:
-                    seen["read"] = seen.get("read", 0) + 1
-                held.append(table.read_row_group(g, columns=[*keys, item, score]).to_pandas(types_mapper={pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}.get))
-                settle()
-    return best
+                seen["read"] = seen.get("read", 0) + 1
+                rows = table.read_row_group(g, columns=[*keys, item, score]).to_pandas(types_mapper={pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}.get)
+                rows = _cut(rows, keys, item, score, n)
+                number = rows.groupby(keys, sort=False, dropna=False).ngroup()
+                yield rows[(number > 0) & (number < number.max())]
+                for k in {0, int(number.max())}:
+                    part = rows[number == k]
+                    name = tuple(None if pd.isna(x) else x.item() if hasattr(x, "item") else x for x in part.iloc[0][keys])
+                    if name in best:
+                        part = _cut(pd.concat([best[name], part]), keys, item, score, n)
+                    best[name] = part
+                    if len(part) == n:
+                        reached[name] = float(part[score].iloc[-1])
+    yield from best.values()
 
 
 def top_items(rows: DataFrame, keys: list[str], item: str, score: str, n: int) -> DataFrame:
@@ -99,7 +105,7 @@ def top_items(rows: DataFrame, keys: list[str], item: str, score: str, n: int) -
     valid = valid.withColumn(score, F.col(score) + F.lit(0.0))  # one zero only
     clustered = spark.read.schema(valid.schema).parquet(cluster_by_group(valid, keys, item, score))
     files = sorted(clustered.inputFiles())
-    slots = max(1, min(len(files), 2 * spark.sparkContext.defaultParallelism, len(files)))
+    slots = max(1, min(len(files), 2 * spark.sparkContext.defaultParallelism))
     share = -(-len(files) // slots) if files else 1
     runs = [(files[i : i + share],) for i in range(0, len(files), share)]
     tasks = spark.createDataFrame(runs or [([],)], "files array<string>").repartition(max(1, len(runs)))
@@ -107,9 +113,7 @@ def top_items(rows: DataFrame, keys: list[str], item: str, score: str, n: int) -
     def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for names in batch["files"]:
-                best = select_top(list(names), keys, item, score, n)
-                if len(best):
-                    yield best
+                yield from select_top(list(names), keys, item, score, n)
 
     local = tasks.mapInPandas(select, valid.schema)
     order = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col(item).desc())
