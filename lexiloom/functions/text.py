@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,8 +59,6 @@ NOOP_STEPS: tuple[Step, ...] = (collapse_white_space,)
 
 def python_step(function: Callable[[str], str]) -> Step:
     """A step from a plain function on strings, run in Arrow batches; nulls are passed by."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(function, na_action="ignore")

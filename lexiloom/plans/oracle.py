@@ -100,7 +100,7 @@ def _phi_of(source: str, name: str) -> str:
 
 PHI = f"{ONCE}, {_phi_of('c', 'p')}"
 SCORES = f"""{PHI}, scored AS (
-    SELECT p.topic, token AS term, round(phi * (ln(phi) - avg(ln(phi)) OVER (PARTITION BY word_id)), 8) AS score
+    SELECT p.topic, token AS term, round(phi * (ln(phi) - avg(ln(phi)) OVER (PARTITION BY word_id)), 8) + 0.0::DOUBLE AS score
     FROM p JOIN dictionary USING (word_id)
 )"""
 RANKED = f"""{SCORES}, ranked AS (
