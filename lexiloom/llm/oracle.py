@@ -54,6 +54,6 @@ FROM corpus WHERE word_id IS NOT NULL GROUP BY word_id
 HAVING count(*) * 1000 >= 2 * (SELECT count(word_id) FROM corpus)""",
     "p7_found": _SCORED + " SELECT run_id, topic, word_id FROM scored WHERE phi >= 0.002 AND phi >= 0.3 * total",
     "p7_distinctive_words": _SCORED + """
-SELECT run_id, topic, word_id, phi, round(total, 14) AS total, records, round(ridf, 6) AS ridf,
-    round(ridf * phi * 10000, 9) AS score FROM scored""",
+SELECT run_id, topic, word_id, phi, round(total, 14) AS total, records, round(ridf, 6) + 0.0::DOUBLE AS ridf,
+    round(ridf * phi * 10000, 9) + 0.0::DOUBLE AS score FROM scored""",
 }

@@ -55,12 +55,15 @@ _END = re.compile(rf"(?i)(?<=[.!?]){_NOT_AFTER}[\"')\]]*\s+(?![0-9])|(?:\r?\n[ \
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences of a text; a piece with hardly any letter belongs to the one before."""
+    """Sentences of a text; a piece with hardly any letter belongs to the one before.
+
+    Text without letters has no sentences.
+    """
     out: list[str] = []
     for part in _END.split(text):
         if out and sum(map(str.isalpha, part)) < LEAST_LETTERS:
             out[-1] += " " + part
-        elif part.strip():
+        elif any(map(str.isalpha, part)):
             out.append(part)
     return out
 
