@@ -28,6 +28,11 @@ GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧινο"
 GREEK_LATIN = "ABEZHIKMNOPTYXivo"
 
 
+# Kinds of compatibility forms that are drawn like their plain form; raised, lowered,
+# circled, squared or slashed ones are not.
+ALIKE = {"<" + kind for kind in ("compat", "final", "font", "initial", "isolated", "medial", "narrow", "noBreak", "small", "wide")}
+
+
 @lru_cache(1)
 def _tables() -> dict[str, str]:
     single_from, single_to, spaces, several, invisible = [], [], [], {}, []
@@ -38,7 +43,7 @@ def _tables() -> dict[str, str]:
             spaces.append(x)
         elif kind == "Cf":
             invisible.append(x)
-        elif unicodedata.decomposition(x).startswith("<"):
+        elif unicodedata.decomposition(x).split(">")[0] in ALIKE:
             # the folded form of a compatibility character; spacing accents stand for themselves
             y = unicodedata.normalize("NFKC", x)
             if y[:1] == " " or y == x:

@@ -97,41 +97,52 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass(frozen=True)
-class NgramModel:
-    """Witten-Bell interpolation: the share of each order and the symbols' counts, by bucket."""
+class NgramModels:
+    """One character model for each band, with Witten-Bell interpolation.
 
-    seen: np.ndarray
-    kinds: np.ndarray
+    Tables are by order and bucket, the bands side by side, so one access serves them all.
+    """
+
+    #: Of a context: 1 / (occurrences + kinds of followers), then kinds over the same.
+    context: np.ndarray
+    #: Occurrences of a context with its symbol.
     counts: np.ndarray
-    #: Mean and deviation of the logarithm of a sentence's words.
-    length: tuple[float, float]
+    #: Mean and deviation of the logarithm of a sentence's words, by band.
+    length: np.ndarray
 
     @staticmethod
-    def fit(texts: list[str]) -> NgramModel:
-        spelled = [_spelled(x) for x in texts]
-        size = np.log([len(x.split()) + 1 for x in spelled])
-        codes, _ = _codes(spelled)
-        seen, kinds, counts = (np.zeros((ORDER + 1, BUCKETS), np.float32) for _ in range(3))
-        for m, (context, symbol) in enumerate(_hashes(codes)):
-            seen[m] = np.bincount(context, minlength=BUCKETS)
-            counts[m] = np.bincount(symbol, minlength=BUCKETS)
-            pairs = np.unique(context << 16 | symbol)
-            kinds[m] = np.bincount(pairs >> 16, minlength=BUCKETS)
-        return NgramModel(seen, kinds, counts, (float(size.mean()), float(size.std()) + 0.1))
+    def fit(by_band: list[list[str]]) -> NgramModels:
+        n = len(by_band)
+        context = np.zeros((ORDER + 1, BUCKETS, 2 * n), np.float32)
+        context[:, :, n:] = 1.0  # a context never seen leaves all to the shorter one
+        counts = np.zeros((ORDER + 1, BUCKETS, n), np.float32)
+        length = np.zeros((n, 2))
+        for k, texts in enumerate(by_band):
+            spelled = [_spelled(x) for x in texts]
+            size = np.log([len(x.split()) + 1 for x in spelled])
+            length[k] = size.mean(), size.std() + 0.1
+            for m, (at, symbol) in enumerate(_hashes(_codes(spelled)[0])):
+                seen = np.bincount(at, minlength=BUCKETS)
+                kinds = np.bincount(np.unique(at << 16 | symbol) >> 16, minlength=BUCKETS)
+                context[m, seen > 0, k] = 1 / (seen + kinds)[seen > 0]
+                context[m, seen > 0, n + k] = (kinds / np.maximum(seen + kinds, 1))[seen > 0]
+                counts[m, :, k] = np.bincount(symbol, minlength=BUCKETS)
+        return NgramModels(context, counts, length)
+
+    def surprisal(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of every symbol under every model."""
+        n = len(self.length)
+        p = np.full((len(codes), n), 1 / 256, np.float32)
+        for m, (at, symbol) in enumerate(_hashes(codes)):
+            known = self.context[m][at]
+            p *= known[:, n:]
+            p += self.counts[m][symbol] * known[:, :n]
+        return -np.log2(np.minimum(p, 1.0))
 
     def length_bits(self, words: np.ndarray) -> np.ndarray:
-        """Bits of sentences having so many words."""
-        mean, deviation = self.length
-        return np.square((np.log(words + 1) - mean) / deviation) / (2 * np.log(2)) + np.log2(deviation)
-
-    def surprisal(self, hashes: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Bits of every symbol."""
-        p = np.full(len(hashes[0][0]), 1 / 256, np.float32)
-        for m, (context, symbol) in enumerate(hashes):
-            total = self.seen[m][context]
-            kinds = self.kinds[m][context]
-            p = np.where(total > 0, (np.minimum(self.counts[m][symbol], total) + kinds * p) / np.maximum(total + kinds, 1), p)
-        return -np.log2(p)
+        """Bits of sentences having so many words, by model."""
+        mean, deviation = self.length.T
+        return np.square((np.log(words + 1)[:, None] - mean) / deviation) / (2 * np.log(2)) + np.log2(deviation)
 
 
 def isotonic_fit(x: np.ndarray, y: np.ndarray, bins: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +167,7 @@ def isotonic_fit(x: np.ndarray, y: np.ndarray, bins: int | None = None) -> tuple
 class ReadingModel:
     """Models of the bands and the knots of the isotonic map."""
 
-    models: tuple[NgramModel, ...]
+    models: NgramModels
     vocabulary: frozenset[str]
     knots_x: np.ndarray
     knots_y: np.ndarray
@@ -173,23 +184,22 @@ def contrast(excess: np.ndarray) -> np.ndarray:
     return (weight / weight.sum(axis=1, keepdims=True)) @ np.arange(excess.shape[1], dtype=float)
 
 
-def _surprisals(models: tuple[NgramModel, ...], vocabulary: frozenset[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _surprisals(models: NgramModels, vocabulary: frozenset[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of each sentence: mean bits of its symbols under the first model; by model, the mean excess bits of its words."""
     spelled = [_spelled(x) for x in texts]
     codes, owner = _codes(spelled)
-    hashes = _hashes(codes)
     ends = codes == 32
-    word = np.cumsum(ends) - ends  # a word ends with its space
-    bits = [m.surprisal(hashes) for m in models]
-    by_word = np.stack([np.bincount(word, b) for b in bits], axis=1) if len(codes) else np.zeros((0, len(models)))
+    bits = models.surprisal(codes)
+    # a word ends with its space, as every sentence does
+    by_word = np.add.reduceat(bits, np.flatnonzero(np.r_[True, ends[:-1]])) if len(codes) else bits
     excess = np.minimum(by_word - by_word.min(axis=1, keepdims=True, initial=np.inf), WORD_LIMIT)
     weight = np.array([1.0 if w in vocabulary or not w else STRANGER for x in spelled for w in x.split(" ")[:-1]])
     of = owner[ends]
-    length = np.stack([m.length_bits(np.bincount(of, minlength=len(texts)) - 1) for m in models], axis=1)
+    length = models.length_bits(np.bincount(of, minlength=len(texts)) - 1)
     length = np.minimum(length - length.min(axis=1, keepdims=True), WORD_LIMIT) * LENGTH_WORDS
     n_words = np.bincount(of, weight, len(texts)) + LENGTH_WORDS
-    mean = np.stack([(np.bincount(of, excess[:, k] * weight, len(texts)) + length[:, k]) / n_words for k in range(len(models))], axis=1)
-    return np.bincount(owner, bits[0], len(texts)) / np.maximum(np.bincount(owner, minlength=len(texts)), 1), mean
+    mean = np.stack([(np.bincount(of, excess[:, k] * weight, len(texts)) + length[:, k]) / n_words for k in range(bits.shape[1])], axis=1)
+    return np.bincount(owner, bits[:, 0], len(texts)) / np.maximum(np.bincount(owner, minlength=len(texts)), 1), mean
 
 
 def _vocabulary(rows: list[tuple[str, list[str]]]) -> frozenset[str]:
@@ -202,7 +212,7 @@ def train_reading_model(samples: DataFrame, max_samples: int = MAX_SAMPLES) -> R
     rows = [(r["band"], sentences(r["text"])) for r in graded.orderBy(F.xxhash64("text"), "text").limit(max_samples).collect()]
     if {b for b, _ in rows} != set(BANDS):
         raise ValueError("samples of every band are needed")
-    fit = lambda part: tuple(NgramModel.fit([s for b, x in part if b == band for s in x]) for band in BANDS)
+    fit = lambda part: NgramModels.fit([[s for b, x in part if b == band for s in x] for band in BANDS])
     xs, ys = [], []
     for fold in range(FOLDS):
         rest = [r for k, r in enumerate(rows) if k % FOLDS != fold]

@@ -23,8 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.storage import materialise
+
 #: Positions of one record that are handled together.
 CHUNK = 1 << 16
+#: So many records that are cut into chunks are known by broadcast; more are joined.
+FEW_RECORDS = 500_000
 #: Rows of a block, and so of one suffix array.
 BLOCK_ROWS = 1 << 19
 #: Suffixes are sorted by at least so many tokens.
@@ -186,7 +190,9 @@ def ngram_frequency(tokens: DataFrame, max_n: int = 1, record_col: str = "doc_id
     if whole:
         rows = rows.withColumns({"chunk": F.lit(0), "spread": F.lit(False)})
     else:
-        spread = beyond.select("record").distinct().withColumn("spread", F.lit(True))
+        spread = materialise(beyond.select("record").distinct().withColumn("spread", F.lit(True)), "spread")
+        if spread.count() <= FEW_RECORDS:
+            spread = F.broadcast(spread)
         rows = rows.join(spread, "record", "left").withColumns({"chunk": chunk, "spread": F.coalesce("spread", F.lit(False))})
         if max_n > 1:
             # the first positions of a chunk also follow the last of the one before
