@@ -86,8 +86,8 @@ def plain_text(text: str) -> str:
     return text.lower()
 
 
-def word_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all n-grams, the word each belongs to, and the text each word belongs to."""
+def word_grams(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each n the buckets of the n-grams and the word each belongs to, in order; and the text each word belongs to."""
     plain = [plain_text(x) for x in texts]
     codes = np.frombuffer(" ".join(["", *plain, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(plain)), [len(x) + 1 for x in plain])
@@ -97,7 +97,7 @@ def word_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes, letter, owner = np.where(letter, codes, 32)[keep], letter[keep], owner[keep]
     opens = letter & ~np.r_[False, letter[:-1]]
     word = np.cumsum(opens) - 1
-    buckets, words = [], []
+    parts = []
     size = len(codes)
     for n in LENGTHS:
         if size < n:
@@ -112,13 +112,10 @@ def word_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             good = good & letter[k : size - n + 1 + k]
         if n == 2:
             good = letter[:-1] | letter[1:]
-        at = np.arange(size - n + 1)[good]
-        buckets.append((h[good] >> np.uint64(46)).astype(np.int64))
+        at = np.flatnonzero(good)
         # an n-gram that begins with the space before a word belongs to that word
-        words.append(np.where(letter[at], word[at], word[np.minimum(at + 1, size - 1)]))
-    if not buckets:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(buckets), np.concatenate(words), owner[opens]
+        parts.append(((h[good] >> np.uint64(46)).astype(np.int64), np.where(letter[at], word[at], word[np.minimum(at + 1, size - 1)])))
+    return parts, owner[opens]
 
 
 @dataclass(frozen=True)
@@ -130,9 +127,12 @@ class LanguageModel:
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log posteriors of every word, limited from below, and the text each belongs to."""
-        bucket, word, owner = word_grams(texts)
-        n_words = len(owner)
-        score = np.stack([np.bincount(word, self.log_prob[bucket, k], n_words) for k in range(len(self.languages))], axis=1) if n_words else np.zeros((0, len(self.languages)))
+        parts, owner = word_grams(texts)
+        score = np.zeros((len(owner), len(self.languages)))
+        for bucket, word in parts:
+            if len(bucket):
+                starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+                score[word[starts]] += np.add.reduceat(self.log_prob[bucket], starts)
         top = score.max(axis=1, keepdims=True, initial=-np.inf)
         score = score - top
         score -= np.log(np.exp(score).sum(axis=1, keepdims=True))
@@ -159,9 +159,9 @@ def _fitted(rows: list[tuple[str, str]]) -> LanguageModel:
         raise ValueError("no labelled samples")
     counts = np.full((BUCKETS, len(languages)), SMOOTHING)
     for k, lang in enumerate(languages):
-        bucket, _, _ = word_grams([text for name, text in rows if name == lang])
-        counts[:, k] += np.bincount(bucket, minlength=BUCKETS)
-    return LanguageModel(languages, np.log(counts / counts.sum(axis=0)))
+        for bucket, _ in word_grams([text for name, text in rows if name == lang])[0]:
+            counts[:, k] += np.bincount(bucket, minlength=BUCKETS)
+    return LanguageModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
 def train_language_model(samples: DataFrame, max_samples: int = MAX_SAMPLES) -> LanguageModel:
