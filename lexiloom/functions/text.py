@@ -30,7 +30,8 @@ def lower_case(text: Column) -> Column:
 
 def remove_urls(text: Column) -> Column:
     """Delete ``scheme://...`` with all that is glued to it."""
-    return F.regexp_replace(text, URL, "")
+    # few texts hold one: the search, which starts at every character, is kept to those
+    return F.when(F.contains(text, F.lit("://")), F.regexp_replace(text, URL, "")).otherwise(text)
 
 
 def punctuation_to_space(text: Column) -> Column:

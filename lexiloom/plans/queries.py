@@ -20,7 +20,7 @@ from lexiloom.operators.ordering import dense_ids
 from lexiloom.plans import lda
 from lexiloom.plans.pipeline import Pipeline
 from lexiloom.sources.stopwords import default_stopwords, stopword_table
-from lexiloom.storage import read_table
+from lexiloom.storage import materialise, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,7 +171,7 @@ def doc_freq(spark: SparkSession, d: str) -> DataFrame:
 @query
 def dictionary(spark: SparkSession, d: str) -> DataFrame:
     """Words of the default pipeline, numbered by first occurrence, with their frequency."""
-    tokens = preprocess_default(spark, d)
+    tokens = materialise(preprocess_default(spark, d), "tokens")
     return V.build_dictionary(tokens).join(V.term_statistics(tokens), "token").select("word_id", "token", "freq")
 
 
