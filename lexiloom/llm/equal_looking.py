@@ -17,7 +17,9 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,10 @@ GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧινο"
 GREEK_LATIN = "ABEZHIKMNOPTYXivo"
 
 
+#: Text that one statement works on, and memory that DuckDB may use for it.
+SLICE_BYTES = 4 << 20
+MEMORY = "400MB"
+
 # Kinds of compatibility forms that are drawn like their plain form; raised, lowered,
 # circled, squared or slashed ones are not.
 ALIKE = {"<" + kind for kind in ("compat", "final", "font", "initial", "isolated", "medial", "narrow", "noBreak", "small", "wide")}
@@ -117,11 +123,21 @@ def consistent_sql(source: str = "batch") -> str:
 def _connect():
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
     con.execute("SET enable_progress_bar = false")
     return con
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that hold ``SLICE_BYTES`` of text, or one text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, SLICE_BYTES + (size[at - 1] if at else 0), side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def consistent_texts(documents: DataFrame) -> DataFrame:
     """Every document's text in one form: ``doc_id LONG, text STRING, original_md5 STRING``.
 
@@ -132,8 +148,8 @@ def consistent_texts(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con, sql = _connect(), consistent_sql()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in _slices(whole):
                 con.register("batch", pa.Table.from_batches([batch]))
                 result = con.sql(sql).to_arrow_table()
                 con.unregister("batch")
