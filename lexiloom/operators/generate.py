@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.tokens import join_tokens
 
 
-def generate_documents(spark: SparkSession, n_docs: int, weights: Sequence[float], phi: DataFrame, mean_length: float, seed: int = 0, max_cells: int = 50_000_000) -> DataFrame:
+def generate_documents(spark: SparkSession, n_docs: int, weights: Sequence[float], phi: DataFrame, mean_length: float, seed: int = 0, max_cells: int = 5_000_000) -> DataFrame:
     """``doc_id, pos, word_id`` of ``n_docs`` new documents.
 
     A document's length follows a Poisson distribution of the given mean, the topic of

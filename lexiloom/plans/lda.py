@@ -26,7 +26,7 @@ BETA = 0.2
 BURN_IN, SAMPLE_LAG, OPTIMISE_LAG, PERPLEXITY_LAG, THRESHOLD = 100, 20, 40, 10, 1e-4
 
 #: Cells of the word-topic table (words x topics) that may be gathered and broadcast, 4 bytes each.
-MAX_CELLS = 50_000_000
+MAX_CELLS = 5_000_000
 
 
 @dataclass(frozen=True)
