@@ -16,7 +16,7 @@ from lexiloom.operators import alpha as prior
 from lexiloom.operators import counts, gibbs, scores
 from lexiloom.operators.generate import generate_documents, generate_texts
 from lexiloom.plans.pipeline import Corpus
-from lexiloom.storage import materialise
+from lexiloom.storage import discard, materialise
 
 log = logging.getLogger(__name__)
 
@@ -219,19 +219,26 @@ def train(model: Model, cycles: int, schedule: Schedule | None = None, max_cells
 
     A cycle is a sweep; then, as the schedule says, the prior is optimised, a sample
     is taken and the perplexity is checked.  The check that ends training does not count its
-    cycle, so training on repeats it.  ``train(model, 0)`` changes nothing.
+    cycle, so training on repeats it.  ``train(model, 0)`` changes nothing.  Tables of the
+    cycles between are removed; those of the model given stay.
     """
+    given = model
     schedule = schedule or Schedule()
     n_words = model.dictionary.count()
     before = 0.0
     for cycle in range(model.cycles, model.cycles + cycles):
         began = time.time()
+        last = model
         model = swept(model, cycle, n_words, max_cells)
         if schedule.optimises(cycle):
             model = replace(model, alpha=optimised_alpha(model))
         if schedule.samples(cycle):
             model = sampled(model)
         kind = "burn-in" if cycle < schedule.burn_in else "sampling" if schedule.samples(cycle) else "optimising" if schedule.optimises(cycle) else "sample-lagging"
+        for part in ("docs", "phi_sum", "theta_sum"):
+            old = getattr(last, part)
+            if old is not getattr(given, part) and old is not getattr(model, part):
+                discard(old)
         now = model.perplexity() if schedule.checks(cycle) else None
         model = replace(model, history=(*model.history, (cycle, kind, now, time.time() - began)))
         log.info("cycle %d: %s, perplexity %s, %.1f s", *model.history[-1])

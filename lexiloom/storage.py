@@ -25,23 +25,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/lexiloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path below this application's part of the shared folder."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lexiloom/{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Cuts the lineage: later stages depend on files, not on executors.
+    Cuts the lineage: later stages depend on files, not on executors.  The files
+    stay until :func:`discard` or :func:`clear`.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._working_path = path
+    return written
+
+
+def discard(df: DataFrame | None) -> None:
+    """Remove the files of a frame that :func:`materialise` made; any other frame is left alone."""
+    path = getattr(df, "_working_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all working tables of this application."""
+    _delete(spark, _own_dir(spark))
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a path made by :func:`new_path`."""
+def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -2,6 +2,7 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -37,6 +38,18 @@ def test_topics_are_recovered(trained):
     assert sorted(map(sorted, tops.values())) == [["1", "2", "3", "4"], ["a", "b", "c", "d"]]
 
 
+def test_working_tables(spark):
+    from lexiloom.storage import materialise, shared_dir
+
+    first = lda.new_model(Pipeline.noop().run_texts(spark, ["a b", "b c"]), 2)
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "lexiloom" / spark.sparkContext.applicationId
+    before = {*folder.iterdir()}
+    last = lda.train(first, 5, lda.Schedule(1, 1, 1, 1))
+    assert len({*folder.iterdir()} - before) == 3 and before <= {*folder.iterdir()}
+    assert first.corpus().count() == last.corpus().count() == 4 and last.phi().count() == 6
+    assert materialise(spark.range(3), "x").count() == 3
+
+
 def test_invariants(trained):
     assert trained.samples == 4 and trained.cycles == 26 and min(trained.alpha) > 0
     assert [h[1] for h in trained.history[9:12]] == ["burn-in", "sampling", "sample-lagging"]
