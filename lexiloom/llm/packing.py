@@ -47,21 +47,15 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     def take(size: int) -> None:
         left[size] -= 1
         if not left[size]:
-            end = size + 1
-            while end <= capacity and fits[end] == size:
-                end += 1
-            fits[size:end] = fits[size - 1]
+            fits[size : np.searchsorted(fits, size, side="right")] = fits[size - 1]
 
     def give(size: int) -> None:
         left[size] += 1
         if left[size] == 1:
-            end = size
-            while end <= capacity and fits[end] < size:
-                end += 1
-            fits[size:end] = size
+            fits[size : max(size, np.searchsorted(fits, size, side="left"))] = size
 
     patterns = []
-    while top := int(fits[capacity]):
+    while fits[capacity]:
         sizes, gap = [], capacity
         while size := int(fits[gap]):
             take(size)
@@ -93,7 +87,6 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
                 left[size] -= use * more - 1
                 take(size)
         patterns.append(Pattern(tuple(sizes), 1 + more))
-        assert top
     return patterns
 
 
