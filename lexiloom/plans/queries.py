@@ -443,7 +443,7 @@ def train_history(spark: SparkSession, d: str) -> DataFrame:
 def _generated(spark: SparkSession, d: str, n_docs: int) -> DataFrame:
     """Documents from the distributions of ``corpus``."""
     n_d = C.mean_length(_lengths(spark, d)).first()["mean_length"]
-    return generate_documents(spark, n_docs, ALPHA, _phi(spark, d), n_d, seed=3)
+    return generate_documents(spark, n_docs, ALPHA, materialise(_phi(spark, d), "phi"), n_d, seed=3)
 
 
 @query
