@@ -3,7 +3,8 @@
 Method: DuckDB runs inside Arrow partitions.  One embedded SQL statement maps
 compatibility forms and unusual spaces (``translate``), removes invisible
 characters and expands ligatures (regular expressions), composes accents
-(``nfc_normalize``) and settles look-alike letters word by word.
+(``nfc_normalize``) and settles look-alike letters word by word.  For that, accents
+are taken off the letters that have look-alikes, and composed again at the end.
 
 A word is written in the script of those of its letters that no other script
 looks like; a word without such letters takes the script that such letters have
@@ -41,7 +42,8 @@ ALIKE = {"<" + kind for kind in ("compat", "final", "font", "initial", "isolated
 
 @lru_cache(1)
 def _tables() -> dict[str, str]:
-    single_from, single_to, spaces, several, invisible = [], [], [], {}, []
+    single_from, single_to, spaces, several, invisible, accented = [], [], [], {}, [], {}
+    lookalike = set(CYRILLIC + CYRILLIC_LATIN + GREEK + GREEK_LATIN)
     for c in range(0x80, 0x20000):
         x = chr(c)
         kind = unicodedata.category(x)
@@ -59,8 +61,10 @@ def _tables() -> dict[str, str]:
                 single_to.append(y)
             else:
                 several[x] = y
+        elif (y := unicodedata.normalize("NFD", x))[0] in lookalike and len(y) > 1:
+            accented[x] = y
     invisible += [chr(c) for c in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0xFE00, 0xFE10))]
-    return {"from": "".join(single_from + spaces), "to": "".join(single_to + [" "] * len(spaces)), "invisible": "".join(invisible), "several": several}
+    return {"from": "".join(single_from + spaces), "to": "".join(single_to + [" "] * len(spaces)), "invisible": "".join(invisible), "several": several, "accented": accented}
 
 
 def _quoted(text: str) -> str:
@@ -78,12 +82,18 @@ def _char_class(text: str) -> str:
     return "[" + "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in parts) + "]"
 
 
+def _expanded(table: dict[str, str]) -> str:
+    """SQL that replaces every character of ``t`` that the table has by its several ones."""
+    kind = _char_class("".join(table))
+    pairs = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in table.items()) + "}"
+    parts = f"regexp_extract_all(t, '{kind}|[^{kind[1:]}+')"
+    return f"CASE WHEN regexp_matches(t, '{kind}') THEN array_to_string(list_transform({parts}, lambda c: CASE WHEN length(c) = 1 THEN coalesce(({pairs})[c], c) ELSE c END), '') ELSE t END"
+
+
 @lru_cache(1)
 def consistent_sql(source: str = "batch") -> str:
     """The embedded statement: ``doc_id, text, original_md5`` of every row of ``source``."""
     t = _tables()
-    several = _char_class("".join(t["several"]))
-    expansion = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in t["several"].items()) + "}"
     lookalike = CYRILLIC + GREEK
     latin = "".join(sorted(set(CYRILLIC_LATIN + GREEK_LATIN)))
     to = {"l": f"translate({{0}}, {_quoted(lookalike)}, {_quoted(CYRILLIC_LATIN + GREEK_LATIN)})"}
@@ -105,19 +115,19 @@ def consistent_sql(source: str = "batch") -> str:
                 regexp_replace(CASE WHEN regexp_matches(text, '{_char_class(t["from"])}') THEN translate(text, {_quoted(t["from"])}, {_quoted(t["to"])}) ELSE text END, '{_char_class(t["invisible"])}+', '', 'g') AS t
             FROM {source}
         ), expanded AS (
-            SELECT doc_id, original, nfc_normalize(CASE WHEN regexp_matches(t, '{several}')
-                THEN array_to_string(list_transform(regexp_extract_all(t, '{several}|[^{several[1:]}+'), lambda c: CASE WHEN length(c) = 1 THEN coalesce(({expansion})[c], c) ELSE c END), '') ELSE t END) AS t
-            FROM plain
+            SELECT doc_id, original, nfc_normalize({_expanded(t["several"])}) AS t FROM plain
         ), weighed AS (
             SELECT *, regexp_matches(t, '[\\p{{Cyrillic}}\\p{{Greek}}]') AS mixed FROM expanded
+        ), bared AS (
+            SELECT doc_id, original, mixed, CASE WHEN mixed THEN {_expanded(t["accented"])} ELSE t END AS t FROM weighed
         ), counted AS (
-            SELECT *, CASE WHEN mixed THEN {own} END AS own FROM weighed
+            SELECT *, CASE WHEN mixed THEN {own} END AS own FROM bared
         ), led AS (
             SELECT *, CASE WHEN NOT mixed THEN 'l' WHEN {cyr} > greatest({lat}, {gre}) THEN 'c' WHEN {gre} > greatest({lat}, {cyr}) THEN 'g' ELSE 'l' END AS main FROM counted
         ), moved AS (
-            SELECT doc_id, original, main, CASE WHEN NOT mixed THEN t WHEN main = 'c' THEN {to['c'].format('t')} WHEN main = 'g' THEN {to['g'].format('t')} ELSE {to['l'].format('t')} END AS t FROM led
+            SELECT doc_id, original, mixed, main, CASE WHEN NOT mixed THEN t WHEN main = 'c' THEN {to['c'].format('t')} WHEN main = 'g' THEN {to['g'].format('t')} ELSE {to['l'].format('t')} END AS t FROM led
         )
-        SELECT doc_id, CASE WHEN {foreign.format('t')} THEN {settled} ELSE t END AS text, md5(original) AS original_md5 FROM moved"""
+        SELECT doc_id, CASE WHEN NOT mixed THEN t ELSE nfc_normalize(CASE WHEN {foreign.format('t')} THEN {settled} ELSE t END) END AS text, md5(original) AS original_md5 FROM moved"""
 
 
 def _connect():

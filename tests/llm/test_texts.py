@@ -121,6 +121,22 @@ def test_disguised(spark):
     assert equal_looking.disguised_copies(docs(spark, long)).count() == 1
 
 
+@pytest.mark.parametrize(
+    ("text", "others"),
+    [
+        # the letter is both disguised and decomposed, or one composed letter of the other script
+        ("one caf\u00e9 is here", ["one caf\u0435\u0301 is here", "one caf\u0435\u200b\u0301 is h\u0435re"]),
+        ("cr\u00e8me, na\u00efve, No\u00ebl, H\u0301", ["cr\u0435\u0300me, na\u0456\u0308ve, No\u0435\u0308l, \u0397\u0301", "cr\u0450me, na\u0457ve, No\u0451l, \u0389"]),
+        ("gr\u00e4ulich, sch\u00f6n, vi\u1ec7t", ["gr\u0430\u0308ulich, sch\u043e\u0308n, vi\u0435\u0302\u0323t", "gr\u04d3ulich, sch\u04e7n, vi\u0435\u0323\u0302t"]),
+        ("\u0435\u0449\u0451 \u0437\u0430\u0301\u043c\u043e\u043a, \u0439", ["e\u0449\u00eb \u0437\u00e1\u043co\u043a, \u0438\u0306", "\u0435\u0449e\u0308 \u0437a\u0301\u043c\u043e\u043a, \u0439"]),
+    ],
+)
+def test_accents_of_disguised_letters(spark, text, others):
+    frame = docs(spark, [text, *others])
+    assert {r["text"] for r in equal_looking.consistent_texts(frame).collect()} == {text}
+    assert sorted(map(tuple, equal_looking.disguised_copies(frame).collect())) == [(0, 1), (0, 2)]
+
+
 # --- language ------------------------------------------------------------------------
 
 WORDS = {
