@@ -119,7 +119,8 @@ def hash_text(text: str) -> tuple[int, int]:
 _SKIP = "[" + re.escape(_BLANK.replace("\n", "").replace("\r", "")) + "]"
 _NAME = "(?:" + "|".join(HEADER_FIELDS) + ")"
 _FIELD = re.compile(rf"(?i)(?:(?<={_SKIP})|(?<=[\r\n])|^)({_NAME})(?={_SKIP}*[:=])", re.ASCII)
-_HEADER_LINE = re.compile(rf"(?i){_SKIP}*{_NAME}(?={_SKIP}*[:=])[^\r\n]*(?:\r\n|\r|\n|$)", re.ASCII)
+# what is skipped before a field may hold line breaks: blank lines neither keep a header from beginning nor end it
+_HEADER_LINE = re.compile(rf"(?i)[{re.escape(_BLANK)}]*+{_NAME}(?={_SKIP}*[:=])[^\r\n]*(?:\r\n|\r|\n|$)", re.ASCII)
 
 
 def split_header(text: str) -> tuple[list[tuple[str, str]], str]:

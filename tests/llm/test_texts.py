@@ -64,6 +64,13 @@ def test_copies(spark):
     assert format_copies.copy_pairs(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("header", ["\nrun = x1 | title = a b\n", "\r\n \n- RUN: x1\r\n- title: a b\r\n", "run: x1\n\ntitle: a b\n", "---\nrun: x1\n \t\r\ntitle: a b\n---\n"])
+def test_line_breaks_around_fields(spark, header):
+    texts = ["title: a b\nrun: x1\nBody of a text.", header + "body of a text", "\n\nBody of a text.", "\nrun: a b\ntitle: x1\nbody of a text"]
+    assert sorted(map(tuple, format_copies.copy_pairs(docs(spark, texts)).collect())) == [(0, 1)]
+    assert format_copies.split_header("\n\nBody\nrun: x") == ([], "\n\nBody\nrun: x")
+
+
 def test_hot_group_and_collisions(spark, monkeypatch):
     monkeypatch.setattr(format_copies, "PART_ROWS", 50)
     texts = ["same text" + "." * (k % 7) for k in range(600)] + [f"other {k}" for k in range(300)]
