@@ -51,9 +51,14 @@ def column(phi_rows: DataFrame, topic: int) -> DataFrame:
 
 
 def term_scores(phi_rows: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``word_id, topic, term, score``: phi ln(phi / geometric mean of the word)."""
-    mean = F.avg(F.ln("phi")).over(Window.partitionBy("word_id"))
-    scored = phi_rows.withColumn("score", F.col("phi") * (F.ln("phi") - mean))
+    """``word_id, topic, term, score``: phi ln(phi / geometric mean of the word).
+
+    The logarithms are added in order of phi: words of equal counts have equal scores, to the last bit.
+    """
+    words = phi_rows.groupBy("word_id").agg(F.sort_array(F.collect_list(F.struct("phi", "topic"))).alias("each"))
+    mean = F.aggregate("each", F.lit(0.0), lambda s, x: s + F.ln(x["phi"])) / F.size("each")
+    rows = words.select("word_id", mean.alias("mean"), F.inline("each"))
+    scored = rows.select("word_id", "topic", (F.col("phi") * (F.ln("phi") - F.col("mean"))).alias("score"))
     return scored.join(dictionary, "word_id").select("word_id", "topic", F.col("token").alias("term"), "score")
 
 

@@ -322,7 +322,7 @@ def term_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str, n: int) -> DataFrame:
-    # equal counts give scores that differ in the last bits only: they are tied on purpose
+    # as the SQL has it: scores that differ beyond the eighth decimal are tied
     return S.top_terms(_scores(spark, d).withColumn("score", F.round("score", 8)), n)
 
 
@@ -336,6 +336,12 @@ def top_terms_all(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d, 0)
 
 
+@query
+def top_terms_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """All terms by their scores as they are, not rounded: only equal scores are tied."""
+    return S.top_terms(_scores(spark, d), 0)
+
+
 @query
 def topic_words(spark: SparkSession, d: str) -> DataFrame:
     return S.topic_words(S.topics_nested(_ranked(spark, d, 10))).select("topic", _flat(F.col("words")).alias("words"))

@@ -84,6 +84,27 @@ def test_generation(spark, trained):
         trained.generate(1, [1.0])
 
 
+def test_ranks_of_close_scores(spark):
+    from lexiloom.plans.queries import QUERIES
+
+    # word w of the first 30 has its own counts, the other 30 have equal ones; all scores are far below the eighth decimal
+    rng = random.Random(6)
+    counts = [[rng.randint(0, 9) for _ in range(12)] for _ in range(30)] + [[3, 0, 1, 7, 0, 2, 5, 4, 6, 1, 0, 8]] * 30
+    rows = [(w, k, (n + 0.2) / (2e9 + k % 5)) for w, c in enumerate(counts) for k, n in enumerate(c)]
+    rng.shuffle(rows)
+    words = spark.createDataFrame([(w, f"t{w:02}") for w in range(60)], "word_id int, token string")
+    scored = S.term_scores(spark.createDataFrame(rows, "word_id int, topic int, phi double"), words)
+    tied = scored.filter("word_id >= 30").groupBy("topic").agg(F.countDistinct("score").alias("n")).collect()
+    assert [r["n"] for r in tied] == [1] * 12
+    ln = {w: [math.log(p) for _, _, p in sorted(r for r in rows if r[0] == w)] for w in range(60)}
+    score = {(w, k): p * (ln[w][k] - math.fsum(ln[w]) / 12) for w, k, p in rows}
+    got = {(r["topic"], r["rank"]): r["term"] for r in S.top_terms(scored, 0).collect()}
+    for k in range(12):
+        best = sorted(range(60), key=lambda w: (float(f"{score[w, k]:.11e}"), w), reverse=True)
+        assert [got[k, i + 1] for i in range(60)] == [f"t{w:02}" for w in best]
+    assert "top_terms_ranked" in QUERIES
+
+
 def test_no_samples(spark):
     model = lda.new_model(Pipeline.noop().run_texts(spark, ["a b", "b c"]), 2)
     with pytest.raises(ValueError):
