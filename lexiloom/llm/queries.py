@@ -40,6 +40,12 @@ def p1_bigram_frequency(spark: SparkSession, d: str) -> DataFrame:
     return pairs.filter("n = 2 AND occurrences > 1").select("term", "occurrences", "records")
 
 
+def p1_bigram_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of neighbouring tokens, those that occur once included, with its occurrences, records and mark."""
+    pairs = ngram_frequency(read_table(spark, d, "tokens"), max_n=2).filter("n = 2")
+    return mark_terms(pairs, read_table(spark, d, "doc_index")).select("term", "occurrences", "records", "mark")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Places 1 to 10 of the terms of every topic of every run."""
     rows = read_table(spark, d, "term_scores").filter("topic IS NOT NULL")

@@ -49,6 +49,18 @@ def test_ngrams(spark, monkeypatch, chunk, max_n):
     assert got == brute_ngrams(rows, max_n)
 
 
+def test_all_bigrams_are_marked(spark, tmp_path):
+    from lexiloom.llm.queries import queries
+
+    rows = [*token_rows(), (0, 1000, "seen"), (0, 1001, "once")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/tokens.parquet")
+    spark.createDataFrame([(d,) for d in range(40)], "doc_id long").write.parquet(f"{tmp_path}/doc_index.parquet")
+    mark = lambda c, r: "common" if r * 100 > 90 * 40 else "rare" if c < 10 or r < 5 else None
+    expected = sorted((t, c, r, mark(c, r)) for n, t, c, r in brute_ngrams(rows, 2) if n == 2)
+    assert ("seen once", 1, 1, "rare") in expected
+    assert sorted(map(tuple, queries()["p1_bigram_marks"](spark, str(tmp_path)).collect()), key=lambda r: r[0]) == expected
+
+
 def _chunked(run, chunk):
     def with_chunk(batches):
         from lexiloom.llm import term_frequency as module
