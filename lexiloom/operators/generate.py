@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.tokens import join_tokens
@@ -18,7 +18,8 @@ def generate_documents(spark: SparkSession, n_docs: int, weights: Sequence[float
     A document's length follows a Poisson distribution of the given mean, the topic of
     each token the weights, its word that topic's phi.  ``phi``: ``word_id, topic, phi``.  Documents
     of length 0 have no rows.  The cumulated phi is broadcast if it has at most ``max_cells``
-    entries; beyond that the words are drawn by joins.
+    entries; beyond that the words are drawn by joins.  Both draw from the same order of
+    words with the same sums, so the size changes no word.
     """
     weights = np.asarray(weights, float)
     if (weights < 0).any() or not weights.sum() > 0:
@@ -40,38 +41,53 @@ def generate_documents(spark: SparkSession, n_docs: int, weights: Sequence[float
 
     drawn = ids.mapInPandas(tokens, schema)
     if phi.count() <= max_cells:
-        rows = phi.orderBy("topic", "word_id").toPandas()
-        table = {int(k): (g["word_id"].to_numpy(), g["phi"].cumsum().to_numpy()) for k, g in rows.groupby("topic")}
+        rows = _sliced(phi).select("topic", "slice", "word_id", "to").orderBy("topic", "slice", "word_id").toArrow().to_pandas()
+        table = {}
+        for k, g in rows.groupby("topic"):
+            slices, ids, to = (g[c].to_numpy() for c in ("slice", "word_id", "to"))
+            ends = np.flatnonzero(np.r_[slices[1:] != slices[:-1], True]) + 1
+            table[int(k)] = ids, to, ends, np.cumsum(to[ends - 1])
         shared = spark.sparkContext.broadcast(table)
 
         def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out = np.zeros(len(batch), np.int32)
                 for topic, rows in batch.groupby("topic").indices.items():
-                    ids, running = shared.value[int(topic)]
-                    at = np.searchsorted(running, batch["u"].to_numpy()[rows] * running[-1])
-                    out[rows] = ids[np.minimum(at, len(ids) - 1)]
+                    ids, to, ends, high = shared.value[int(topic)]
+                    x = batch["u"].to_numpy()[rows] * high[-1]
+                    hit = np.minimum(np.searchsorted(high, x), len(high) - 1)
+                    y = x - high[hit] + to[ends[hit] - 1]
+                    # the first word of the slice whose sum reaches y, the last one at most
+                    low, up = np.r_[0, ends][hit], ends[hit] - 1
+                    while (low < up).any():
+                        middle = (low + up) // 2
+                        reached = to[middle] >= y
+                        low, up = np.where(reached, low, np.minimum(middle + 1, up)), np.where(reached, middle, up)
+                    out[rows] = ids[low]
                 yield batch[["doc_id", "pos"]].assign(word_id=out)
 
         return drawn.mapInPandas(words, "doc_id long, pos int, word_id int")
     return _drawn_by_merge(drawn, phi)
 
 
+def _sliced(phi: DataFrame, parts: int = 4096) -> DataFrame:
+    """``phi`` with ``slice``, by hash of the word, and ``to``, the sum of phi up to the word in its topic's slice."""
+    within = Window.partitionBy("topic", "slice").orderBy("word_id").rowsBetween(Window.unboundedPreceding, 0)
+    return phi.withColumn("slice", F.pmod(F.xxhash64("word_id"), F.lit(parts)).cast("int")).withColumn("to", F.sum("phi").over(within))
+
+
 def _drawn_by_merge(drawn: DataFrame, phi: DataFrame, parts: int = 4096) -> DataFrame:
     """Words of tokens for a phi of any size: tokens and words meet on slices of the cumulated distribution."""
-    from pyspark.sql import Window
-
-    # words are hashed to slices; a slice's mass is known, so a token finds its slice in a small table
-    sliced = phi.withColumn("slice", F.pmod(F.xxhash64("word_id"), F.lit(parts)).cast("int"))
-    mass = sliced.groupBy("topic", "slice").agg(F.sum("phi").alias("mass"))
+    # a slice's mass is known, so a token finds its slice in a small table
+    sliced = _sliced(phi, parts)
+    mass = sliced.groupBy("topic", "slice").agg(F.max("to").alias("mass"))
     upto = Window.partitionBy("topic").orderBy("slice")
-    mass = mass.withColumns({"high": F.sum("mass").over(upto), "total": F.sum("mass").over(Window.partitionBy("topic"))})
-    table = mass.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("high", "mass", "slice"))).alias("slices"), F.first("total").alias("total"))
+    mass = mass.withColumn("high", F.sum("mass").over(upto))
+    table = mass.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("high", "mass", "slice"))).alias("slices"), F.max("high").alias("total"))
     at = drawn.join(table, "topic").withColumn("x", F.col("u") * F.col("total"))
     hit = F.coalesce(F.filter("slices", lambda s: s["high"] >= F.col("x"))[0], F.element_at("slices", -1))
     at = at.withColumn("hit", hit).select("doc_id", "pos", "topic", F.col("hit.slice").alias("slice"), (F.col("x") - F.col("hit.high") + F.col("hit.mass")).alias("y"))
-    within = Window.partitionBy("topic", "slice").orderBy("word_id")
-    words = sliced.withColumn("to", F.sum("phi").over(within)).groupBy("topic", "slice").agg(F.sort_array(F.collect_list(F.struct("to", "word_id"))).alias("words"))
+    words = sliced.groupBy("topic", "slice").agg(F.sort_array(F.collect_list(F.struct("to", "word_id"))).alias("words"))
     joined = at.join(words, ["topic", "slice"])
     word = F.coalesce(F.filter("words", lambda w: w["to"] >= F.col("y"))[0], F.element_at("words", -1))
     return joined.withColumn("word", word).select("doc_id", "pos", F.col("word.word_id").alias("word_id"))

@@ -132,6 +132,13 @@ def test_generation_for_any_vocabulary(spark):
     assert [r["text"] for r in generate_texts(spark, 3, none, words).collect()] == ["", "", ""]
 
 
+def test_generation_is_the_same_at_any_size(spark):
+    rng = random.Random(8)
+    phi = spark.createDataFrame([(w, k, rng.random() / 150) for w in range(300) for k in range(3)], "word_id int, topic int, phi double")
+    broadcast, joined = (sorted(map(tuple, generate_documents(spark, 40, [0.2, 0.5, 0.3], phi, 30.0, 5, max_cells).collect())) for max_cells in (900, 0))
+    assert len(broadcast) > 900 and broadcast == joined
+
+
 def test_optimise_alpha():
     lengths, topics = {5: 3, 0: 2, 2: 4}, [{0: 2, 3: 3}, {2: 7}]
     alpha = [0.1, 0.1]
