@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 Step = Callable[[Column], Column]
 
 # The patterns of the cleaning steps.
-URL = r"\S+://\S+"
+URL = r"(?<!\S)\S+://\S+"  # tried where a run of other than white space begins, so that a long run is searched once
 SPACED_PUNCTUATION = "[!,.?/:;_]"
 UNWANTED = "[^a-zA-Z0-9-' ]"
 WHOLE_NUMBER = "(?<= |^)[0-9]+(?= |$)"
@@ -30,8 +30,7 @@ def lower_case(text: Column) -> Column:
 
 def remove_urls(text: Column) -> Column:
     """Delete ``scheme://...`` with all that is glued to it."""
-    # few texts hold one: the search, which starts at every character, is kept to those
-    return F.when(F.contains(text, F.lit("://")), F.regexp_replace(text, URL, "")).otherwise(text)
+    return F.regexp_replace(text, URL, "")
 
 
 def punctuation_to_space(text: Column) -> Column:

@@ -13,9 +13,11 @@ def split_tokens(text: Column, delimiter: str = " ") -> Column:
     the delimiter is one token, so an empty text is one empty token; a text of
     delimiters alone has no tokens.  Null gives null.
     """
-    parts = F.split(text, delimiter)
-    last = F.coalesce(F.array_max(F.transform(parts, lambda x, i: F.when(x != "", i + 1))), F.lit(0))
-    return F.when(text.isNull(), None).when(~F.regexp_like(text, F.lit(delimiter)), F.array(text)).otherwise(F.slice(parts, 1, last))
+    last = lambda parts: F.coalesce(F.array_max(F.transform(parts, lambda x, i: F.when(x != "", i + 1))), F.lit(0))
+    whole = lambda parts: (F.size(parts) == 1) | (F.element_at(parts, -1) != "")
+    # the parts are bound once, so the text is named, and worked out, once
+    bound = F.transform(F.array(F.split(text, delimiter)), lambda parts: F.when(whole(parts), parts).otherwise(F.slice(parts, 1, last(parts))))
+    return F.get(bound, F.lit(0))
 
 
 def token_rows(documents: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.operators.joins import split_join
 from lexiloom.operators.ordering import dense_ids
 from lexiloom.sources.stopwords import default_stopwords, stopword_table
+from lexiloom.storage import materialise
 
 log = logging.getLogger(__name__)
 
@@ -90,11 +92,15 @@ def kept_terms(statistics: DataFrame, doc_ids: DataFrame, bounds: TokenFilter) -
 
 
 def filter_tokens(tokens: DataFrame, doc_ids: DataFrame, bounds: TokenFilter) -> DataFrame:
-    """Token rows whose token keeps the bounds; statistics are taken once, of all rows given."""
+    """Token rows whose token keeps the bounds; statistics are taken once, of all rows given.
+
+    Eager: the rows are written, as both the statistics and the result read them.
+    """
     if not bounds.bounds():
         return tokens
+    tokens = materialise(tokens, "unfiltered")
     kept = kept_terms(term_statistics(tokens), doc_ids, bounds)
-    return tokens.join(kept.select("token"), "token", "left_semi").select(tokens.columns)
+    return split_join(tokens, materialise(kept.select("token"), "kept"), "token", "left_semi").select(tokens.columns)
 
 
 def require_tokens(tokens: DataFrame) -> DataFrame:
@@ -111,25 +117,25 @@ def kept_and_total(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def build_dictionary(tokens: DataFrame) -> DataFrame:
-    """``word_id INT, token``: dense ids by first occurrence, in order of document, then position."""
-    first = tokens.groupBy("token").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    flat = first.select("token", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"))
-    return dense_ids(flat, ["doc_id", "pos"], "word_id", "int").select("word_id", "token")
+    """``word_id INT, token, freq LONG``: dense ids by first occurrence, in order of document, then position."""
+    first = tokens.groupBy("token").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("freq"))
+    flat = first.select("token", "freq", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"))
+    return dense_ids(flat, ["doc_id", "pos"], "word_id", "int").select("word_id", "token", "freq")
 
 
 def encode(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Token rows to ``doc_id, pos, word_id``; tokens that the dictionary lacks are left out."""
-    return tokens.join(dictionary, "token").select("doc_id", "pos", "word_id")
+    return split_join(tokens, dictionary.select("word_id", "token"), "token").select("doc_id", "pos", "word_id")
 
 
 def decode(corpus: DataFrame, dictionary: DataFrame) -> DataFrame:
     """The inverse of :func:`encode`."""
-    return corpus.join(dictionary, "word_id").select("doc_id", "pos", "token")
+    return split_join(corpus, dictionary.select("word_id", "token"), "word_id").select("doc_id", "pos", "token")
 
 
 def known_tokens(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Token rows that the dictionary has."""
-    return tokens.join(dictionary.select("token"), "token", "left_semi").select(tokens.columns)
+    return split_join(tokens, dictionary.select("token"), "token", "left_semi").select(tokens.columns)
 
 
 def look_up(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import DEFAULT_STEPS, NOOP_STEPS, Step, clean
-from lexiloom.functions.tokens import split_tokens, token_rows
+from lexiloom.functions.tokens import split_tokens
 from lexiloom.operators.vocabulary import TokenFilter, build_dictionary, encode, filter_tokens, remove_stopwords, require_tokens, warn_of_empty
 from lexiloom.sources.stopwords import default_stopwords
 from lexiloom.sources.text_files import from_texts, read_lines
@@ -49,8 +49,9 @@ class Pipeline:
 
     def tokenise(self, documents: DataFrame) -> DataFrame:
         """``doc_id, pos, token`` before stopwords; a null text is an empty document."""
-        text = clean(F.coalesce("text", F.lit("")), self.steps)
-        return token_rows(documents.select("doc_id", split_tokens(text, self.delimiter).alias("tokens")))
+        cleaned = documents.select("doc_id", clean(F.coalesce("text", F.lit("")), self.steps).alias("text"))
+        # split inside the generator: over a column of arrays the planner would infer a filter that cleans every text again
+        return cleaned.select("doc_id", F.posexplode(split_tokens(F.col("text"), self.delimiter)).alias("pos", "token"))
 
     def tokens(self, documents: DataFrame) -> DataFrame:
         """``doc_id, pos, token`` after stopwords and filters."""
@@ -64,7 +65,7 @@ class Pipeline:
         index = documents.select("doc_id")
         tokens = require_tokens(materialise(self.tokens(documents), "tokens"))
         warn_of_empty(index, tokens)
-        dictionary = materialise(build_dictionary(tokens), "dictionary")
+        dictionary = materialise(build_dictionary(tokens).select("word_id", "token"), "dictionary")
         return Corpus(materialise(encode(tokens, dictionary), "corpus"), dictionary, index)
 
     def run_texts(self, spark: SparkSession, texts: Sequence[str]) -> Corpus:

@@ -152,7 +152,8 @@ def preprocess_noop(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def kept_total(spark: SparkSession, d: str) -> DataFrame:
-    return V.kept_and_total(_unstopped(spark, d), preprocess_default(spark, d))
+    rows = materialise(_unstopped(spark, d), "unstopped")
+    return V.kept_and_total(rows, V.filter_tokens(rows, _docs(spark, d), V.TokenFilter.default()))
 
 
 @query
@@ -171,8 +172,7 @@ def doc_freq(spark: SparkSession, d: str) -> DataFrame:
 @query
 def dictionary(spark: SparkSession, d: str) -> DataFrame:
     """Words of the default pipeline, numbered by first occurrence, with their frequency."""
-    tokens = materialise(preprocess_default(spark, d), "tokens")
-    return V.build_dictionary(tokens).join(V.term_statistics(tokens), "token").select("word_id", "token", "freq")
+    return V.build_dictionary(preprocess_default(spark, d))
 
 
 @query

@@ -1,12 +1,13 @@
 """Shared working storage for stages that must outlive a lost executor.
 
 Everything a later stage reads back is written to the folder named by
-``spark.checkpoint.dir``.  A folder of our own is only made where the session
-names none, as in local tests.
+``spark.checkpoint.dir``.  A folder of our own is only made for a local master, where
+one machine holds driver and workers; on a cluster a session without one raises.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,12 @@ _CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can read and write."""
+    """Folder that every executor can read and write; raises where a cluster's session names none."""
     folder = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"{_CONF} must name a folder that all machines of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
         spark.conf.set(_CONF, folder)
     return folder.rstrip("/")

@@ -1,9 +1,11 @@
 """Stopwords, filters, dictionary, encoding, ordering and sources."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions.tokens import token_rows
+from lexiloom.operators import joins
 from lexiloom.operators import vocabulary as V
 from lexiloom.operators.ordering import dense_ids
 from lexiloom.plans.pipeline import Pipeline
@@ -22,7 +24,9 @@ def by_doc(tokens, n):
 
 
 def test_default_stopwords(spark):
-    tokens = tokens_of(spark, ["document", "did", "does"], ["put", "que", "what"])
+    words = stopwords.default_stopwords()
+    assert len(words) == len(set(words)) < 200 and all(w.isalpha() and w == w.lower() for w in words)
+    tokens = tokens_of(spark, ["document", "did", "does"], ["those", "with", "what"])
     assert by_doc(V.remove_stopwords(tokens), 2) == [["document"], []]
     assert V.warn_of_empty(spark.range(2).select(F.col("id").alias("doc_id")), V.remove_stopwords(tokens)) == 1
 
@@ -33,6 +37,11 @@ def test_own_stopwords(spark, tmp_path):
     assert stopwords.read_stopwords(path) == ["a", "The"]
     tokens = tokens_of(spark, ["a", "the", "The", "b", "b"])
     assert by_doc(V.remove_stopwords(tokens, stopwords.read_stopwords(path)), 1) == [["the", "b", "b"]]
+    path.write_text("did\ndoes\nput\nque\nwhat\nfür\n", "cp1252")
+    listed = stopwords.read_stopwords(path, "cp1252")
+    assert listed[-1] == "für"
+    tokens = tokens_of(spark, ["document", "did", "does"], ["put", "que", "what"])
+    assert by_doc(V.remove_stopwords(tokens, listed), 2) == [["document"], []]
 
 
 @pytest.mark.parametrize(
@@ -75,6 +84,36 @@ def test_dictionary_and_encoding(spark):
     assert {r["token"]: r["word_id"] for r in V.look_up(asked, words).collect()} == {"a": 1, "zz": None}
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_split_join(spark, monkeypatch, how):
+    monkeypatch.setattr(joins, "PARTS", 20)
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise((F.col("id") % 40).cast("string")).alias("k"), "id")
+    table = spark.createDataFrame(pa.table({"k": ["hot", "4", "none"], "v": [1, 2, 3]}))
+    expected = sorted(map(repr, rows.join(table, "k", how).collect()))
+    assert joins.fits_broadcast(table)
+    monkeypatch.setattr(joins, "fits_broadcast", lambda _: False)
+    got = joins.split_join(rows, table, "k", how)
+    assert sorted(map(repr, got.collect())) == expected
+    assert "cartesian" not in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lexiloom.storage import shared_dir
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getConf=lambda: {}))
+    for master in ("yarn", "spark://a:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
+
+
+def test_text_is_cleaned_once(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string").repartition(3)
+    plan = Pipeline.default().tokenise(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 6
+
+
 def test_dense_ids(spark):
     rows = spark.range(10_000).select((F.col("id") * 7919 % 10_007).alias("x"))
     got = sorted((r["x"], r["n"]) for r in dense_ids(rows, ["x"], "n").collect())
