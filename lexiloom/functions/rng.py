@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _bits(*key: Column | str | int) -> Column:
+def _bits(*key: Column | str | int, digits: int = 8) -> Column:
     parts = [F.lit(k).cast("string") if isinstance(k, int) else (F.col(k) if isinstance(k, str) else k).cast("string") for k in key]
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10)
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, digits), 16, 10)
 
 
 def uniform(*key: Column | str | int) -> Column:
@@ -19,3 +21,13 @@ def uniform(*key: Column | str | int) -> Column:
 def uniform_int(n: int, *key: Column | str | int) -> Column:
     """An integer in 0 ... n - 1 of the key."""
     return (_bits(*key).cast("long") % n).cast("int")
+
+
+def uniform_fine(*key: Column | str | int) -> Column:
+    """As :func:`uniform`, in steps of 2 ** -52: for draws among very many."""
+    return _bits(*key, digits=13).cast("double") / F.lit(4503599627370496.0)
+
+
+def uniforms(prefix: str, n: int) -> list[float]:
+    """The numbers of :func:`uniform` for the keys ``prefix:0`` ... ``prefix:(n - 1)``, outside of Spark."""
+    return [int(hashlib.md5(b"%s:%d" % (prefix.encode(), i)).hexdigest()[:8], 16) / 4294967296.0 for i in range(n)]

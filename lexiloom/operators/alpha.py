@@ -33,11 +33,12 @@ def optimise_alpha(alpha: Sequence[float], lengths: Mapping[int, int], by_topic:
     """
     alpha = [float(a) for a in alpha]
     total = sum(alpha)
-    size = np.array([n for n in lengths if n > 0], np.int64)
+    # in order of the counts, so that the sums do not depend on the order that they were gathered in
+    size = np.array(sorted(n for n in lengths if n > 0), np.int64)
     docs = np.array([lengths[n] for n in size.tolist()], float)
     topics = []
     for h in by_topic:
-        c = np.array([n for n in h if n > 0], np.int64)
+        c = np.array(sorted(n for n in h if n > 0), np.int64)
         topics.append((c, np.array([h[n] for n in c.tolist()], float)))
     for _ in range(iterations):
         below = float(docs @ harmonic_sums(size, total)) - SCALE

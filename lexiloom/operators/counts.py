@@ -5,7 +5,7 @@ Rows whose topic is null are not assigned yet and count for no topic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,24 @@ def document_topic_counts(corpus: DataFrame) -> DataFrame:
     return assigned(corpus).groupBy("doc_id", "topic").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _dense(n_topics: int) -> Column:
+    """Of rows ``topic, n``: the counts of all topics in their order, as an aggregate."""
+    held = F.map_from_entries(F.collect_list(F.struct("topic", "n")))
+    at = lambda m: F.transform(F.sequence(F.lit(0), F.lit(n_topics - 1)), lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0)))
+    # the map is bound once
+    return F.get(F.transform(F.array(held), at), F.lit(0))
+
+
+def count_vectors(counts: DataFrame, key: str, n_topics: int) -> DataFrame:
+    """Of counts ``key, topic, n``: the key and ``counts``, one number for each topic."""
+    return counts.groupBy(key).agg(_dense(n_topics).alias("counts"))
+
+
+def topic_totals(corpus: DataFrame, n_topics: int) -> Column:
+    """The tokens of every topic as one array, a scalar."""
+    return topic_counts(corpus).agg(_dense(n_topics).alias("totals")).scalar()
+
+
 def all_counts(corpus: DataFrame) -> DataFrame:
     """The counts by document, topic, word and topic, and document and topic, in one pass.
 

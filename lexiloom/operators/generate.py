@@ -1,25 +1,82 @@
-"""New documents from a trained model."""
+"""New documents from a trained model.
+
+Every draw is a column expression on a hash of its key, so the same seed gives the
+same documents on any cluster.  A word is found by descending a tree of cumulated
+probabilities, one join and one bisection within a node for each level; a node has at most
+``FANOUT`` entries, so the tree grows with the vocabulary by levels only.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
+from itertools import accumulate
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.functions.rng import uniform_fine
 from lexiloom.functions.tokens import join_tokens
+from lexiloom.operators.joins import split_join
+from lexiloom.operators.ordering import dense_ids
+from lexiloom.storage import materialise
+
+#: Entries of a node of the tree of words.
+FANOUT = 256
+#: Standard deviations about the mean that the table of a Poisson distribution covers.
+SPREAD = 12
+
+
+def poisson_table(mean: float) -> tuple[int, list[float]]:
+    """The smallest number of the table, and the probabilities of that many at most, of one more at most, ..."""
+    if not mean > 0:
+        return 0, [1.0]
+    low = max(0, math.floor(mean - SPREAD * math.sqrt(mean)))
+    high = math.ceil(mean + SPREAD * math.sqrt(mean)) + SPREAD
+    return low, list(accumulate(math.exp(n * math.log(mean) - mean - math.lgamma(n + 1)) for n in range(low, high + 1)))
+
+
+def bisected(sums: Column, goal: Column, size: int) -> Column:
+    """The first place of an ascending array that reaches ``goal``, the last one at most; ``size``: the longest array."""
+    steps = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(max(size, 2))) + 1)))
+    start = F.struct(F.lit(0).alias("low"), (F.size(sums) - 1).alias("up"))
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["up"], 1)
+        there = F.get(sums, middle) >= goal
+        return F.struct(F.when(there, s["low"]).otherwise(F.least(middle + 1, s["up"])).alias("low"), F.when(there, middle).otherwise(s["up"]).alias("up"))
 
+    return F.aggregate(steps, start, step)["low"]
 
-def generate_documents(spark: SparkSession, n_docs: int, weights: Sequence[float], phi: DataFrame, mean_length: float, seed: int = 0, max_cells: int = 5_000_000) -> DataFrame:
+
+def _level(entries: DataFrame, *kept: str) -> DataFrame:
+    """Entries ``topic, at, mass`` gathered to nodes: ``key`` (topic and node), ``upto``, ``masses``, ``mass``, and arrays of ``kept``."""
+    node = F.floor(F.col("at") / F.lit(FANOUT)).cast("long")
+    rows = entries.groupBy("topic", node.alias("node")).agg(F.sort_array(F.collect_list(F.struct("at", "mass", *kept))).alias("r"))
+    masses = rows.select("topic", "node", F.col("r.mass").alias("masses"), *(F.col(f"r.{c}").alias(c) for c in kept))
+    # the running sums, one after another as the masses come
+    sums = F.aggregate("masses", F.array().cast("array<double>"), lambda s, m: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)) + m)))
+    level = masses.select(F.struct("topic", "node").alias("key"), "topic", "node", "masses", sums.alias("upto"), *kept)
+    return level.withColumn("mass", F.element_at("upto", -1))
+
+
+def word_tree(phi: DataFrame) -> list[DataFrame]:
+    """The levels of the tree over ``word_id, topic, phi``, the root first; words are in the order of their ids."""
+    words = dense_ids(phi.select("word_id").distinct(), ["word_id"], "at").select("word_id", "at")
+    entries = split_join(phi, words, "word_id").select("topic", "at", F.col("phi").alias("mass"), "word_id")
+    levels = [materialise(_level(entries, "word_id"), "words")]
+    while not levels[0].filter("node > 0").isEmpty():
+        levels.insert(0, materialise(_level(levels[0].select("topic", F.col("node").alias("at"), "mass")), "nodes"))
+    return levels
+
+
+def generate_documents(spark: SparkSession, n_docs: int, weights: Sequence[float], phi: DataFrame, mean_length: float, seed: int = 0) -> DataFrame:
     """``doc_id, pos, word_id`` of ``n_docs`` new documents.
 
     A document's length follows a Poisson distribution of the given mean, the topic of
     each token the weights, its word that topic's phi.  ``phi``: ``word_id, topic, phi``.  Documents
-    of length 0 have no rows.  The cumulated phi is broadcast if it has at most ``max_cells``
-    entries; beyond that the words are drawn by joins.  Both draw from the same order of
-    words with the same sums, so the size changes no word.
+    of length 0 have no rows.  Eager: the tree of words is written.
     """
     weights = np.asarray(weights, float)
     if (weights < 0).any() or not weights.sum() > 0:
@@ -27,74 +84,31 @@ def generate_documents(spark: SparkSession, n_docs: int, weights: Sequence[float
     n_topics = phi.agg((F.max("topic") + 1).alias("k")).first()["k"] or 0
     if len(weights) != n_topics:
         raise ValueError(f"{len(weights)} weights for {n_topics} topics")
-    ids = spark.range(n_docs).select(F.col("id").alias("doc_id"))
-    schema = "doc_id long, pos int, topic int, u double"
-    cumulated = np.cumsum(weights) / weights.sum()
-
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id in batch["doc_id"]:
-                rng = np.random.default_rng([seed, int(doc_id)])
-                n = int(rng.poisson(mean_length))
-                topic = np.minimum(np.searchsorted(cumulated, rng.random(n)), len(weights) - 1)
-                yield pd.DataFrame({"doc_id": np.full(n, doc_id), "pos": np.arange(n, dtype=np.int32), "topic": topic.astype(np.int32), "u": rng.random(n)})
-
-    drawn = ids.mapInPandas(tokens, schema)
-    if phi.count() <= max_cells:
-        rows = _sliced(phi).select("topic", "slice", "word_id", "to").orderBy("topic", "slice", "word_id").toArrow().to_pandas()
-        table = {}
-        for k, g in rows.groupby("topic"):
-            slices, ids, to = (g[c].to_numpy() for c in ("slice", "word_id", "to"))
-            ends = np.flatnonzero(np.r_[slices[1:] != slices[:-1], True]) + 1
-            table[int(k)] = ids, to, ends, np.cumsum(to[ends - 1])
-        shared = spark.sparkContext.broadcast(table)
-
-        def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = np.zeros(len(batch), np.int32)
-                for topic, rows in batch.groupby("topic").indices.items():
-                    ids, to, ends, high = shared.value[int(topic)]
-                    x = batch["u"].to_numpy()[rows] * high[-1]
-                    hit = np.minimum(np.searchsorted(high, x), len(high) - 1)
-                    y = x - high[hit] + to[ends[hit] - 1]
-                    # the first word of the slice whose sum reaches y, the last one at most
-                    low, up = np.r_[0, ends][hit], ends[hit] - 1
-                    while (low < up).any():
-                        middle = (low + up) // 2
-                        reached = to[middle] >= y
-                        low, up = np.where(reached, low, np.minimum(middle + 1, up)), np.where(reached, middle, up)
-                    out[rows] = ids[low]
-                yield batch[["doc_id", "pos"]].assign(word_id=out)
-
-        return drawn.mapInPandas(words, "doc_id long, pos int, word_id int")
-    return _drawn_by_merge(drawn, phi)
-
-
-def _sliced(phi: DataFrame, parts: int = 4096) -> DataFrame:
-    """``phi`` with ``slice``, by hash of the word, and ``to``, the sum of phi up to the word in its topic's slice."""
-    within = Window.partitionBy("topic", "slice").orderBy("word_id").rowsBetween(Window.unboundedPreceding, 0)
-    return phi.withColumn("slice", F.pmod(F.xxhash64("word_id"), F.lit(parts)).cast("int")).withColumn("to", F.sum("phi").over(within))
-
-
-def _drawn_by_merge(drawn: DataFrame, phi: DataFrame, parts: int = 4096) -> DataFrame:
-    """Words of tokens for a phi of any size: tokens and words meet on slices of the cumulated distribution."""
-    # a slice's mass is known, so a token finds its slice in a small table
-    sliced = _sliced(phi, parts)
-    mass = sliced.groupBy("topic", "slice").agg(F.max("to").alias("mass"))
-    upto = Window.partitionBy("topic").orderBy("slice")
-    mass = mass.withColumn("high", F.sum("mass").over(upto))
-    table = mass.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("high", "mass", "slice"))).alias("slices"), F.max("high").alias("total"))
-    at = drawn.join(table, "topic").withColumn("x", F.col("u") * F.col("total"))
-    hit = F.coalesce(F.filter("slices", lambda s: s["high"] >= F.col("x"))[0], F.element_at("slices", -1))
-    at = at.withColumn("hit", hit).select("doc_id", "pos", "topic", F.col("hit.slice").alias("slice"), (F.col("x") - F.col("hit.high") + F.col("hit.mass")).alias("y"))
-    words = sliced.groupBy("topic", "slice").agg(F.sort_array(F.collect_list(F.struct("to", "word_id"))).alias("words"))
-    joined = at.join(words, ["topic", "slice"])
-    word = F.coalesce(F.filter("words", lambda w: w["to"] >= F.col("y"))[0], F.element_at("words", -1))
-    return joined.withColumn("word", word).select("doc_id", "pos", F.col("word.word_id").alias("word_id"))
+    low, table = poisson_table(mean_length)
+    numbers = lambda xs: F.array(*map(F.lit, xs))
+    docs = spark.range(n_docs).select(F.col("id").alias("doc_id"), numbers(table).alias("_table"))
+    docs = docs.select("doc_id", (F.lit(low) + bisected(F.col("_table"), uniform_fine(seed, F.lit("length"), "doc_id"), len(table))).alias("n"))
+    tokens = docs.filter("n > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"), numbers(np.cumsum(weights).tolist()).alias("_w"))
+    drawn = uniform_fine(seed, F.lit("topic"), "doc_id", "pos") * F.element_at("_w", -1)
+    tokens = tokens.select("doc_id", "pos", bisected(F.col("_w"), drawn, len(weights)).alias("topic"))
+    tokens = tokens.withColumns({"node": F.lit(0).cast("long"), "u": uniform_fine(seed, F.lit("word"), "doc_id", "pos")})
+    levels = word_tree(phi)
+    for k, level in enumerate(levels):
+        last = k == len(levels) - 1
+        at = tokens.withColumn("key", F.struct("topic", "node")).drop("topic", "node")
+        at = split_join(at, level.select("key", "upto", "masses", *(["word_id"] if last else [])), "key")
+        goal = F.col("u") * F.element_at("upto", -1) if k == 0 else F.col("u")
+        at = at.withColumn("x", goal)
+        at = at.withColumn("hit", bisected(F.col("upto"), F.col("x"), FANOUT))
+        if last:
+            return at.select("doc_id", "pos", F.get("word_id", F.col("hit")).alias("word_id"))
+        rest = F.col("x") - (F.get("upto", F.col("hit")) - F.get("masses", F.col("hit")))
+        tokens = at.select("doc_id", "pos", F.col("key.topic").alias("topic"), (F.col("key.node") * FANOUT + F.col("hit")).alias("node"), rest.alias("u"))
+    raise AssertionError("a tree has a level")
 
 
 def generate_texts(spark: SparkSession, n_docs: int, tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``doc_id, text`` of generated tokens; a document without tokens is an empty text."""
-    texts = join_tokens(tokens.join(dictionary, "word_id").select("doc_id", "pos", "token"))
+    texts = join_tokens(split_join(tokens, dictionary.select("word_id", "token"), "word_id").select("doc_id", "pos", "token"))
     ids = spark.range(n_docs).select(F.col("id").alias("doc_id"))
     return ids.join(texts, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

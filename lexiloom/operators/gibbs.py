@@ -1,23 +1,35 @@
 """Collapsed Gibbs sampling.
 
-Three tiers share one rule.  ``synchronous_sweep`` is plain DataFrame work: every token is
-drawn from the counts of the sweep before.  The kernel below sweeps exactly, token by
-token; over partitions it works against a broadcast snapshot of the word-topic counts
-(AD-LDA), over one partition it is the sequential sampler.
+``synchronous_sweep`` is plain DataFrame work: every token is drawn from the counts of the
+sweep before.  Training sweeps by ``sweep_block``: a document's tokens are drawn in
+order, each from the document's counts as they stand; of the words' counts a block of
+documents holds those of its own words, which it takes from all documents before the
+sweep and brings up to date from position to position (AD-LDA).
+
+Blocks follow from document ids, so a sweep gives the same topics however the rows
+are partitioned, and a vocabulary of any size is swept alike.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator, Sequence
-from itertools import accumulate
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.rng import uniform, uniform_int
+from lexiloom.functions.rng import uniform, uniform_int, uniforms
+from lexiloom.operators.counts import count_vectors, document_topic_counts, topic_totals, word_topic_counts
+from lexiloom.operators.joins import split_join
+
+#: Positions of one document that are swept together; what a longer one holds elsewhere is a snapshot, like the words' counts.
+CHUNK = 1 << 16
+#: Tokens of a block, on average.
+BLOCK_TOKENS = 1 << 17
+#: Columns of the sampler's state: a row is a part of a document (``first``: words, ``second``: their topics) or, where
+#: ``word_id`` is not null, a block's counts of a word (``first``: topics, ``second``: tokens of them).
+STATE = "block int, doc_id long, chunk int, word_id int, first array<int>, second array<int>"
 
 
 def init_topics(corpus: DataFrame, n_topics: int, seed: int = 0) -> DataFrame:
@@ -25,25 +37,23 @@ def init_topics(corpus: DataFrame, n_topics: int, seed: int = 0) -> DataFrame:
     return corpus.withColumn("topic", uniform_int(n_topics, seed, "doc_id", "pos"))
 
 
-def _alpha(alpha: Sequence[float]) -> Column:
-    return F.element_at(F.array(*map(F.lit, map(float, alpha))), F.col("k") + 1)
-
-
 def conditional(corpus: DataFrame, n_words: Column | int, alpha: Sequence[float], beta: float = 0.2) -> DataFrame:
-    """``doc_id, pos, k, p``: the unnormalised probability of each topic k of each token, the token itself not counted.
+    """``doc_id, pos, word_id, topic, weights``: the unnormalised probability of each topic of each token, the token itself not counted.
 
-    The counts of a word and of a document travel as one map each, so tokens are
-    joined twice and not once for every topic.
+    The counts of a word and of a document travel as one array each; a token stays one row.
     """
-    n_k = F.map_from_entries(F.collect_list(F.struct("topic", "n")))
-    as_map = lambda by: corpus.groupBy(by, "topic").agg(F.count(F.lit(1)).alias("n")).groupBy(by).agg(n_k.alias(f"{by}_n"))
-    totals = corpus.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).agg(n_k.alias("m")).scalar()
-    tokens = corpus.select("doc_id", "pos", "word_id", "topic").join(as_map("doc_id"), "doc_id").join(as_map("word_id"), "word_id")
-    each = tokens.select("doc_id", "pos", "topic", "doc_id_n", "word_id_n", totals.alias("n_k"), F.explode(F.sequence(F.lit(0), F.lit(len(alpha) - 1))).alias("k"))
-    own = F.when(F.col("k") == F.col("topic"), 1).otherwise(0)
-    count = lambda m: F.coalesce(F.try_element_at(F.col(m), F.col("k")), F.lit(0)) - own
-    p = (count("doc_id_n") + _alpha(alpha)) * (count("word_id_n") + F.lit(beta)) / (count("n_k") + F.lit(beta) * n_words)
-    return each.select("doc_id", "pos", "k", p.alias("p"))
+    n_topics = len(alpha)
+    by_doc = count_vectors(document_topic_counts(corpus), "doc_id", n_topics).withColumnRenamed("counts", "_d")
+    by_word = count_vectors(word_topic_counts(corpus), "word_id", n_topics).withColumnRenamed("counts", "_w")
+    tokens = split_join(corpus.select("doc_id", "pos", "word_id", "topic"), by_doc, "doc_id")
+    tokens = split_join(tokens, by_word, "word_id")
+    tokens = tokens.withColumns({"_t": topic_totals(corpus, n_topics), "_v": F.lit(beta) * n_words, "_a": F.array(*map(F.lit, map(float, alpha)))})
+
+    def weight(n: Column, k: Column) -> Column:
+        own = F.when(k == F.col("topic"), 1).otherwise(0)
+        return (n - own + F.get("_a", k)) * (F.get("_w", k) - own + F.lit(beta)) / (F.get("_t", k) - own + F.col("_v"))
+
+    return tokens.select("doc_id", "pos", "word_id", "topic", F.transform("_d", weight).alias("weights"))
 
 
 def draw(weights: DataFrame, keys: Sequence[str], category: str, weight: str, u: Column, name: str) -> DataFrame:
@@ -55,60 +65,149 @@ def draw(weights: DataFrame, keys: Sequence[str], category: str, weight: str, u:
     return summed.groupBy(*keys).agg(F.coalesce(reached, F.max(category)).alias(name))
 
 
+def reached(weights: Column, goal: Column) -> Column:
+    """The first place of an array of weights whose running sum reaches ``goal``, the last one at most."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("below"))
+
+    def step(s: Column, w: Column) -> Column:
+        upto = s["sum"] + w
+        return F.struct(upto.alias("sum"), (s["below"] + F.when(upto < goal, 1).otherwise(0)).alias("below"))
+
+    return F.least(F.aggregate(weights, start, step)["below"], F.size(weights) - 1)
+
+
 def synchronous_sweep(corpus: DataFrame, n_words: Column | int, alpha: Sequence[float], beta: float = 0.2, seed: int = 0, sweep: int = 1) -> DataFrame:
     """``doc_id, pos, word_id, topic``: every token redrawn from the counts before the sweep."""
-    p = conditional(corpus, n_words, alpha, beta)
-    new = draw(p, ["doc_id", "pos"], "k", "p", uniform(seed, sweep, "doc_id", "pos"), "topic")
-    return corpus.drop("topic").join(new, ["doc_id", "pos"]).select("doc_id", "pos", "word_id", "topic")
-
-
-def sweep_tokens(docs: list[tuple[list[int], list[int]]], n_wk: list[list[int]], n_k: list[int], n_dk: list[list[int]], alpha: Sequence[float], beta: float, draws: np.ndarray) -> None:
-    """One sweep over documents of (words, topics), in place: take a token out, draw its topic, put it back."""
-    beta_sum = beta * len(n_wk)
-    topics = range(len(alpha))
-    last = len(alpha) - 1
-    at = 0
-    us = draws.tolist()
-    for (words, assigned), of_doc in zip(docs, n_dk):
-        for i, w in enumerate(words):
-            k = assigned[i]
-            of_word = n_wk[w]
-            of_doc[k] -= 1
-            of_word[k] -= 1
-            n_k[k] -= 1
-            running = list(accumulate([(of_doc[j] + alpha[j]) * (of_word[j] + beta) / (n_k[j] + beta_sum) for j in topics]))
-            k = min(bisect_left(running, us[at] * running[last]), last)
-            at += 1
-            assigned[i] = k
-            of_doc[k] += 1
-            of_word[k] += 1
-            n_k[k] += 1
-
-
-def document_counts(topics: list[int], n_topics: int) -> list[int]:
-    return np.bincount(np.asarray(topics, np.int64), minlength=n_topics).tolist()
-
-
-def parallel_sweep(corpus_docs: DataFrame, n_wk: np.ndarray, alpha: Sequence[float], beta: float, seed: int, sweep: int) -> DataFrame:
-    """AD-LDA: every document swept against a snapshot of ``n_wk`` (words x topics), which the partition updates for itself.
-
-    ``corpus_docs``: ``doc_id, word_ids, topics``.  The random numbers of a document follow from
-    (seed, sweep, document), whatever the partitioning.  The caller checks the size of ``n_wk``.
+    total = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w)
+    rows = conditional(corpus, n_words, alpha, beta).select("doc_id", "pos", "word_id", "weights", (uniform(seed, sweep, "doc_id", "pos") * total).alias("_goal"))
+    return rows.select("doc_id", "pos", "word_id", reached(F.col("weights"), F.col("_goal")).alias("topic"))
+
+
+# --- training ---------------------------------------------------------------------
+
+
+def first_state(tokens: DataFrame, n_blocks: int) -> DataFrame:
+    """The state of tokens ``doc_id, pos, word_id, topic``; columns as in ``STATE``."""
+    chunk = F.floor(F.col("pos") / F.lit(CHUNK)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", "chunk"), F.lit(n_blocks)).cast("int")
+    placed = tokens.withColumn("chunk", chunk).withColumn("block", block)
+    rows = F.sort_array(F.collect_list(F.struct("pos", "word_id", "topic")))
+    docs = placed.groupBy("block", "doc_id", "chunk").agg(rows.alias("r"))
+    parts = [F.col(f"r.{c}").alias(name) for c, name in (("word_id", "first"), ("topic", "second"))]
+    held = placed.groupBy("block", "word_id", "topic").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return docs.select("block", "doc_id", "chunk", none("int").alias("word_id"), *parts).union(_by_word(held, "block", "word_id").select("block", none("long"), none("int"), "word_id", "first", "second"))
+
+
+def _by_word(counts: DataFrame, *keys: str) -> DataFrame:
+    """Counts ``keys, topic, n`` as two arrays ``first`` and ``second``, without zeros."""
+    rows = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("topic", "n"))).alias("r"))
+    return rows.select(*keys, F.col("r.topic").alias("first"), F.col("r.n").alias("second"))
+
+
+def state_docs(state: DataFrame) -> DataFrame:
+    return state.filter("word_id IS NULL").select("block", "doc_id", "chunk", "first", "second")
+
+
+def state_counts(state: DataFrame) -> DataFrame:
+    """``block, word_id, topic, n`` of every block."""
+    rows = state.filter("word_id IS NOT NULL").select("block", "word_id", F.explode(F.arrays_zip("first", "second")).alias("x"))
+    return rows.select("block", "word_id", F.col("x.first").alias("topic"), F.col("x.second").alias("n"))
+
+
+def sweep_block(docs: pd.DataFrame, words: pd.DataFrame, totals: Sequence[float], alpha: Sequence[float], beta: float, n_words: int, seed: int, sweep: int) -> list[np.ndarray]:
+    """New topics of the documents of a block, one array for each row of ``docs``.
+
+    ``docs``: ``doc_id, chunk, first`` (words) ``, second`` (topics) ``, elsewhere`` (the document's counts in other chunks, or null);
+    ``words``: ``word_id, first`` (topics) ``, second`` (their tokens among all documents); ``totals``: all tokens of each topic.
+
+    The i-th tokens of all documents are drawn together: each is taken out of the
+    counts, which include all draws of the positions before, and drawn with the number that
+    (seed, sweep, document, chunk, place in it) gives; then all are put back.
+    """
+    n_topics = len(alpha)
+    length = np.array([len(x) for x in docs["first"]])
+    # longest first, so that the documents that reach a position come first
+    order = np.lexsort((docs["chunk"].to_numpy(), docs["doc_id"].to_numpy(), -length))
+    length = length[order]
+    starts = np.r_[0, np.cumsum(length)[:-1]]
+    flat = lambda column: np.concatenate([np.asarray(docs[column].iloc[k], np.int64) for k in order])
+    vocabulary = np.sort(words["word_id"].to_numpy())
+    word, topic = np.searchsorted(vocabulary, flat("first")), flat("second")
+    of_word = np.zeros((len(vocabulary), n_topics))
+    row = np.repeat(np.searchsorted(vocabulary, words["word_id"].to_numpy()), [len(x) for x in words["first"]])
+    of_word[row, np.concatenate(words["first"].to_list())] = np.concatenate(words["second"].to_list())
+    of_word += beta
+    owner = np.repeat(np.arange(len(order)), length)
+    of_doc = np.bincount(owner * n_topics + topic, minlength=len(order) * n_topics).reshape(-1, n_topics) + np.asarray(alpha, float)
+    for place, k in enumerate(order):
+        if docs["elsewhere"].iloc[k] is not None:
+            of_doc[place] += np.asarray(docs["elsewhere"].iloc[k])
+    of_topic = np.asarray(totals, float) + beta * n_words
+    u = np.concatenate([uniforms(f"{seed}:{sweep}:{d}:{c}", n) for d, c, n in zip(docs["doc_id"].to_numpy()[order], docs["chunk"].to_numpy()[order], length)])
+    reach = len(length) - np.searchsorted(length[::-1], np.arange(length[0]), side="right")
+    rows = np.arange(len(order))
+    for i, active in enumerate(reach.tolist()):
+        at, r = starts[:active] + i, rows[:active]
+        w, k = word[at], topic[at]
+        p = of_doc[:active] * of_word[w] / of_topic
+        p[r, k] = (of_doc[r, k] - 1) * (of_word[w, k] - 1) / (of_topic[k] - 1)
+        upto = np.cumsum(p, axis=1)
+        new = np.minimum((upto < (u[at] * upto[:, -1])[:, None]).sum(axis=1), n_topics - 1)
+        of_doc[r, k] -= 1
+        of_doc[r, new] += 1
+        np.add.at(of_word, (w, k), -1)
+        np.add.at(of_word, (w, new), 1)
+        of_topic += np.bincount(new, minlength=n_topics) - np.bincount(k, minlength=n_topics)
+        topic[at] = new
+    out: list = [None] * len(order)
+    for place, k in enumerate(order):
+        out[k] = topic[starts[place] : starts[place] + length[place]].astype(np.int32)
+    return out
+
+
+def block_counts(words: list[np.ndarray], topics: list[np.ndarray], n_topics: int) -> pd.DataFrame:
+    """``word_id, first, second`` of the documents of a block."""
+    key, n = np.unique(np.concatenate(words).astype(np.int64) * n_topics + np.concatenate(topics), return_counts=True)
+    ids, starts = np.unique(key // n_topics, return_index=True)
+    return pd.DataFrame({"word_id": ids.astype(np.int32), "first": np.split((key % n_topics).astype(np.int32), starts[1:]), "second": np.split(n.astype(np.int32), starts[1:])})
+
+
+def parallel_sweep(state: DataFrame, n_words: int, alpha: Sequence[float], beta: float, seed: int, sweep: int, chunked: bool) -> DataFrame:
+    """The state after one sweep over all documents.
+
+    Every block is swept against the counts that its words have in all documents before
+    the sweep; a block gives a word's counts as one row, so a frequent word meets in no
+    one place.  ``chunked``: whether any document has more than one chunk.
     """
-    shared = corpus_docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(n_wk, np.int32))
+    n_topics = len(alpha)
+    counts = state_counts(state)
+    totals = [0.0] * n_topics
+    for r in counts.groupBy("topic").agg(F.sum("n").alias("n")).collect():  # one row for each topic
+        totals[r["topic"]] = float(r["n"])
+    shared = _by_word(counts.groupBy("word_id", "topic").agg(F.sum("n").cast("int").alias("n")), "word_id")
+    words = state.filter("word_id IS NOT NULL").select(F.col("block").alias("of_block"), "word_id").join(shared, "word_id")
+    docs = state_docs(state)
+    elsewhere = F.lit(None).cast("array<int>")
+    if chunked:
+        tokens = docs.select("doc_id", "chunk", F.explode("second").alias("topic"))
+        long = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id")
+        per = tokens.join(long, "doc_id", "left_semi").groupBy("doc_id", "chunk", "topic").agg(F.count(F.lit(1)).alias("n"))
+        own = per.groupBy("doc_id", "chunk").agg(F.map_from_entries(F.collect_list(F.struct("topic", "n"))).alias("own"))
+        whole = count_vectors(per.groupBy("doc_id", "topic").agg(F.sum("n").alias("n")), "doc_id", n_topics)
+        rest = F.transform("counts", lambda n, k: (n - F.coalesce(F.try_element_at("own", k), F.lit(0))).cast("int"))
+        docs = docs.join(own.join(whole, "doc_id").select("doc_id", "chunk", rest.alias("elsewhere")), ["doc_id", "chunk"], "left")
+        elsewhere = F.col("elsewhere")
     alpha = [float(a) for a in alpha]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = n_k = None
-        for batch in batches:
-            if table is None:
-                table, n_k = shared.value.tolist(), shared.value.sum(axis=0).tolist()
-            out = []
-            for doc_id, words, topics in zip(batch["doc_id"], batch["word_ids"], batch["topics"]):
-                words, topics = list(map(int, words)), list(map(int, topics))
-                rng = np.random.default_rng([seed, sweep, int(doc_id) & 0xFFFFFFFFFFFFFFFF])
-                sweep_tokens([(words, topics)], table, n_k, [document_counts(topics, len(alpha))], alpha, beta, rng.random(len(words)))
-                out.append(topics)
-            yield batch[["doc_id", "word_ids"]].assign(topics=out)
-
-    return corpus_docs.mapInPandas(run, "doc_id long, word_ids array<int>, topics array<int>")
+    def run(key: tuple, held: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        topics = sweep_block(held, known, totals, alpha, beta, n_words, seed, sweep)
+        block = np.int32(key[0])
+        swept = held[["doc_id", "chunk", "first"]].assign(block=block, word_id=None, second=topics)
+        tally = block_counts(list(held["first"]), topics, n_topics).assign(block=block, doc_id=None, chunk=None)
+        columns = ["block", "doc_id", "chunk", "word_id", "first", "second"]
+        kinds = {"doc_id": "Int64", "chunk": "Int32", "word_id": "Int32"}
+        return pd.concat([swept[columns].astype(kinds), tally[columns].astype(kinds)])
+
+    left = docs.select("block", "doc_id", "chunk", "first", "second", elsewhere.alias("elsewhere")).groupBy("block")
+    return left.cogroup(words.groupBy("of_block")).applyInPandas(run, STATE)

@@ -7,37 +7,62 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.operators.counts import assigned, document_topic_counts, topic_counts, word_topic_counts
+from lexiloom.operators.counts import assigned, count_vectors, document_topic_counts, topic_totals, word_topic_counts
+from lexiloom.operators.joins import split_join
+from lexiloom.operators.ordering import dense_ids
+from lexiloom.storage import materialise
 
 
-def _topics(df: DataFrame, n_topics: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(n_topics - 1)))
+def phi_vectors(corpus: DataFrame, dictionary: DataFrame, n_topics: int, beta: float = 0.2) -> DataFrame:
+    """``word_id, phi ARRAY<DOUBLE>, mean_log`` of every word of the dictionary: (n_wk + beta) / (n_k + beta V) of each topic.
+
+    ``mean_log`` is the mean logarithm of phi over the topics, taken from the counts in ascending order:
+    words of equal counts have the same one to the last bit, whichever topics hold them.
+    """
+    n_words = dictionary.agg(F.count(F.lit(1)).alias("v")).scalar()
+    held = count_vectors(word_topic_counts(corpus), "word_id", n_topics)
+    full = dictionary.select("word_id").join(held, "word_id", "left")
+    # without assigned tokens the totals are null
+    total = F.coalesce(topic_totals(corpus, n_topics), F.array_repeat(F.lit(0).cast("long"), n_topics))
+    full = full.select("word_id", F.coalesce("counts", F.array_repeat(F.lit(0).cast("long"), n_topics)).alias("n"), total.alias("n_k"), (F.lit(beta) * n_words).alias("b"))
+    added = lambda ns, more: F.aggregate(ns, F.lit(0.0), lambda s, n: s + F.ln(n + more))
+    mean = (added(F.array_sort("n"), F.lit(beta)) - added("n_k", F.col("b"))) / n_topics
+    return full.select("word_id", F.transform("n", lambda n, k: (n + F.lit(beta)) / (F.get("n_k", k) + F.col("b"))).alias("phi"), mean.alias("mean_log"))
 
 
 def phi(corpus: DataFrame, dictionary: DataFrame, n_topics: int, beta: float = 0.2) -> DataFrame:
-    """``word_id, topic, phi`` for every word of the dictionary and every topic: (n_wk + beta) / (n_k + beta V)."""
-    n_words = dictionary.agg(F.count(F.lit(1)).alias("v")).scalar()
-    grid = dictionary.select("word_id", _topics(dictionary, n_topics).alias("topic"))
-    n_wk = word_topic_counts(corpus).withColumnRenamed("n", "n_wk")
-    n_k = topic_counts(corpus).withColumnRenamed("n", "n_k")
-    full = grid.join(n_wk, ["word_id", "topic"], "left").join(n_k, "topic", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return full.select("word_id", "topic", ((zero("n_wk") + F.lit(beta)) / (zero("n_k") + F.lit(beta) * n_words)).alias("phi"))
+    """``word_id, topic, phi`` for every word of the dictionary and every topic."""
+    return by_topic(phi_vectors(corpus, dictionary, n_topics, beta), "word_id", "phi")
+
+
+def by_topic(vectors: DataFrame, key: str, value: str) -> DataFrame:
+    """One row for each topic of an array: the key, ``topic`` and the value."""
+    return vectors.select(key, F.posexplode(value).alias("topic", value))
+
+
+def theta_vectors(corpus: DataFrame, doc_index: DataFrame, alpha: Sequence[float]) -> DataFrame:
+    """``doc_id, theta ARRAY<DOUBLE>`` of every document of the index: (n_dk + alpha_k) / (n_d + sum alpha) of each topic."""
+    held = count_vectors(document_topic_counts(corpus), "doc_id", len(alpha))
+    full = doc_index.select("doc_id").join(held, "doc_id", "left")
+    full = full.select("doc_id", F.coalesce("counts", F.array_repeat(F.lit(0).cast("long"), len(alpha))).alias("n"), F.array(*map(F.lit, map(float, alpha))).alias("a"))
+    n_d = F.aggregate("n", F.lit(0).cast("long"), lambda s, n: s + n) + F.lit(float(sum(alpha)))
+    full = full.withColumn("n_d", n_d)
+    return full.select("doc_id", F.transform("n", lambda n, k: (n + F.get("a", k)) / F.col("n_d")).alias("theta"))
 
 
 def theta(corpus: DataFrame, doc_index: DataFrame, alpha: Sequence[float]) -> DataFrame:
-    """``doc_id, topic, theta`` for every document of the index and every topic: (n_dk + alpha_k) / (n_d + sum alpha)."""
-    grid = doc_index.select("doc_id", _topics(doc_index, len(alpha)).alias("topic"))
-    n_dk = document_topic_counts(corpus)
-    over = Window.partitionBy("doc_id")
-    full = grid.join(n_dk, ["doc_id", "topic"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    weight = F.element_at(F.array(*map(F.lit, map(float, alpha))), F.col("topic") + 1)
-    return full.withColumn("n_d", F.sum("n").over(over)).select("doc_id", "topic", ((F.col("n") + weight) / (F.col("n_d") + F.lit(float(sum(alpha))))).alias("theta"))
+    """``doc_id, topic, theta`` for every document of the index and every topic."""
+    return by_topic(theta_vectors(corpus, doc_index, alpha), "doc_id", "theta")
+
 
+def _mean_log(phi: Column) -> Column:
+    # added in order of phi, so that equal counts give the same mean to the last bit
+    return F.aggregate(F.array_sort(phi), F.lit(0.0), lambda s, x: s + F.ln(x)) / F.size(phi)
 
-def geometric_mean(phi_rows: DataFrame) -> DataFrame:
-    """``word_id, geomean``: exp of the mean log over the topics of a word."""
-    return phi_rows.groupBy("word_id").agg(F.exp(F.avg(F.ln("phi"))).alias("geomean"))
+
+def geometric_mean(vectors: DataFrame) -> DataFrame:
+    """``word_id, geomean``: exp of the mean log over the topics of a word; of ``word_id, phi ARRAY<DOUBLE>``."""
+    return vectors.select("word_id", F.exp(_mean_log(F.col("phi"))).alias("geomean"))
 
 
 def column_sum(phi_rows: DataFrame) -> DataFrame:
@@ -62,14 +87,27 @@ def term_scores(phi_rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     return scored.join(dictionary, "word_id").select("word_id", "topic", F.col("token").alias("term"), "score")
 
 
+def vector_scores(vectors: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """As :func:`term_scores`, of ``word_id, phi ARRAY<DOUBLE>``, with ``mean_log`` if there is one: nothing is grouped, the terms are joined to words, not to words and topics."""
+    mean = F.col("mean_log") if "mean_log" in vectors.columns else _mean_log(F.col("phi"))
+    words = vectors.select("word_id", "phi", mean.alias("mean")).join(dictionary.select("word_id", "token"), "word_id")
+    scored = words.select("word_id", F.col("token").alias("term"), F.transform("phi", lambda x: x * (F.ln(x) - F.col("mean"))).alias("score"))
+    return scored.select("word_id", F.posexplode("score").alias("topic", "score"), "term").select("word_id", "topic", "term", "score")
+
+
 def top_terms(scores: DataFrame, n: int) -> DataFrame:
     """``topic, rank, term, score``: best ``n`` terms of each topic, all of them if n <= 0; ties by term, descending.
 
     A bounded n is cut down in every partition before the topics are brought together.
+    All terms are ranked by their place in the order of all topics, which no single task sorts.
     """
-    order = Window.partitionBy("topic").orderBy(F.col("score").desc(), F.col("term").desc())
-    ranked = scores.withColumn("rank", F.row_number().over(order))
-    return (ranked.filter(F.col("rank") <= n) if n > 0 else ranked).select("topic", "rank", "term", "score")
+    best_first = F.col("score").desc(), F.col("term").desc()
+    if n > 0:
+        ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(*best_first)))
+        return ranked.filter(F.col("rank") <= n).select("topic", "rank", "term", "score")
+    placed = materialise(dense_ids(scores.select("topic", "term", "score"), ["topic", *best_first], "place"), "ranked")
+    first = placed.groupBy("topic").agg(F.min("place").alias("first"))
+    return placed.join(first, "topic").select("topic", (F.col("place") - F.col("first") + 1).cast("int").alias("rank"), "term", "score")
 
 
 def topics_nested(top: DataFrame) -> DataFrame:
@@ -102,7 +140,9 @@ def assigned_perplexity(corpus: DataFrame, n_words: Column | int, alpha: Sequenc
     n_wk = rows.groupBy("word_id", "topic").agg(F.sum("w").alias("n_wk"))
     n_k = rows.groupBy("topic").agg(F.sum("w").alias("n_k"))
     weight = F.element_at(F.array(*map(F.lit, map(float, alpha))), F.col("topic") + 1)
-    full = rows.join(n_dk, ["doc_id", "topic"]).join(n_wk, ["word_id", "topic"]).join(n_k, "topic")
+    pair = lambda df, key, *kept: df.select(F.struct(key, "topic").alias(f"{key}_topic"), *kept)
+    full = split_join(rows.withColumns({f"{key}_topic": F.struct(key, "topic") for key in ("doc_id", "word_id")}), pair(n_dk, "doc_id", "n_dk", "n_d"), "doc_id_topic")
+    full = split_join(full, pair(n_wk, "word_id", "n_wk"), "word_id_topic").join(n_k, "topic")
     p = (F.col("n_wk") + F.lit(beta)) / (F.col("n_k") + F.lit(beta) * n_words) * (F.col("n_dk") + weight) / (F.col("n_d") + F.lit(float(sum(alpha))))
     return full.agg(F.exp(-F.try_divide(F.sum(F.col("w") * F.ln(p)), F.sum("w"))).alias("perplexity"))
 
@@ -115,6 +155,12 @@ def accumulate(samples: Sequence[DataFrame], keys: Sequence[str], value: str) ->
     return rows.groupBy(*keys).agg(F.sum(value).alias(f"{value}_sum"), F.count(F.lit(1)).cast("int").alias("samples"))
 
 
+def add_vectors(one: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:
+    """The key and the sums, place by place, of two frames of arrays that hold the same keys, each once."""
+    both = one.select(key, F.col(value).alias("_one")).join(other.select(key, F.col(value).alias("_other")), key)
+    return both.select(key, F.zip_with("_one", "_other", lambda a, b: a + b).alias(value))
+
+
 def mean_of_samples(sums: DataFrame, value: str, samples: int) -> DataFrame:
     """The sampled mean; raises before the first sample."""
     if samples < 1:

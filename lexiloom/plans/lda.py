@@ -8,7 +8,6 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +24,6 @@ FIRST_ALPHA = 0.1
 BETA = 0.2
 BURN_IN, SAMPLE_LAG, OPTIMISE_LAG, PERPLEXITY_LAG, THRESHOLD = 100, 20, 40, 10, 1e-4
 
-#: Cells of the word-topic table (words x topics) that may be gathered and broadcast, 4 bytes each.
-MAX_CELLS = 5_000_000
-
 
 @dataclass(frozen=True)
 class Schedule:
@@ -67,11 +63,12 @@ class Schedule:
 class Model:
     """A snapshot: further training makes a new one.
 
-    ``docs``: ``doc_id, word_ids, topics``; ``phi_sum``: ``word_id, topic, phi_sum``; ``theta_sum``: ``doc_id, topic, theta_sum``, both
-    null before the first sample; ``history``: (cycle, kind, perplexity or None, seconds).
+    ``state``: the sampler's rows (``gibbs.STATE``); ``phi_sum``: ``word_id, phi_sum ARRAY<DOUBLE>``; ``theta_sum``: ``doc_id, theta_sum
+    ARRAY<DOUBLE>``, both null before the first sample; ``chunked``: whether a document has more than one chunk;
+    ``history``: (cycle, kind, perplexity or None, seconds).
     """
 
-    docs: DataFrame
+    state: DataFrame
     dictionary: DataFrame
     doc_index: DataFrame
     alpha: tuple[float, ...]
@@ -79,6 +76,7 @@ class Model:
     seed: int = 0
     samples: int = 0
     cycles: int = 0
+    chunked: bool = False
     phi_sum: DataFrame | None = None
     theta_sum: DataFrame | None = None
     history: tuple[tuple[int, str, float | None, float], ...] = ()
@@ -87,10 +85,16 @@ class Model:
     def n_topics(self) -> int:
         return len(self.alpha)
 
+    @property
+    def mean_seconds(self) -> float:
+        """Seconds of a cycle on average; 0 before the first one."""
+        return sum(h[3] for h in self.history) / max(1, len(self.history))
+
     def corpus(self) -> DataFrame:
-        """``doc_id, pos, word_id, topic``; positions are counted anew in each document."""
-        pairs = self.docs.select("doc_id", F.posexplode(F.arrays_zip("word_ids", "topics")).alias("pos", "x"))
-        return pairs.select("doc_id", "pos", F.col("x.word_ids").alias("word_id"), F.col("x.topics").alias("topic"))
+        """``doc_id, pos, word_id, topic``; positions are counted anew in each chunk of a document."""
+        docs = gibbs.state_docs(self.state)
+        rows = docs.select("doc_id", "chunk", F.posexplode(F.arrays_zip("first", "second")).alias("at", "x"))
+        return rows.select("doc_id", (F.col("chunk") * gibbs.CHUNK + F.col("at")).alias("pos"), F.col("x.first").alias("word_id"), F.col("x.second").alias("topic"))
 
     def n_words(self) -> Column:
         return self.dictionary.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -98,19 +102,19 @@ class Model:
     def _means(self, sums: DataFrame | None, value: str) -> DataFrame:
         if sums is None or not self.samples:
             raise ValueError("the model has no samples yet: train past the burn-in")
-        return scores.mean_of_samples(sums, value, self.samples)
+        return sums.select(sums.columns[0], F.transform(f"{value}_sum", lambda x: x / self.samples).alias(value))
 
     def phi(self) -> DataFrame:
         """``word_id, topic, phi``, the mean over the samples."""
-        return self._means(self.phi_sum, "phi")
+        return scores.by_topic(self._means(self.phi_sum, "phi"), "word_id", "phi")
 
     def theta(self) -> DataFrame:
         """``doc_id, topic, theta``, the mean over the samples."""
-        return self._means(self.theta_sum, "theta")
+        return scores.by_topic(self._means(self.theta_sum, "theta"), "doc_id", "theta")
 
     def top_terms(self, n: int = 10) -> DataFrame:
         """``topic, rank, term, score``; all terms if n <= 0."""
-        return scores.top_terms(scores.term_scores(self.phi(), self.dictionary), n)
+        return scores.top_terms(scores.vector_scores(self._means(self.phi_sum, "phi"), self.dictionary), n)
 
     def topics(self, n: int = 10) -> DataFrame:
         return scores.topics_nested(self.top_terms(n))
@@ -130,21 +134,21 @@ class Model:
 
     def generate(self, n_docs: int, weights: Sequence[float] | None = None, seed: int | None = None) -> DataFrame:
         """``doc_id, pos, word_id`` of new documents; the topics' weights are alpha unless they are given."""
-        spark = self.docs.sparkSession
-        return generate_documents(spark, n_docs, self.alpha if weights is None else weights, self.phi(), self.mean_length(), self.seed if seed is None else seed)
+        spark = self.state.sparkSession
+        return generate_documents(spark, n_docs, self.alpha if weights is None else weights, materialise(self.phi(), "phi"), self.mean_length(), self.seed if seed is None else seed)
 
     def generate_texts(self, n_docs: int, weights: Sequence[float] | None = None, seed: int | None = None) -> DataFrame:
         """``doc_id, text`` of new documents."""
-        return generate_texts(self.docs.sparkSession, n_docs, self.generate(n_docs, weights, seed), self.dictionary)
+        return generate_texts(self.state.sparkSession, n_docs, self.generate(n_docs, weights, seed), self.dictionary)
 
     def save(self, path: str) -> None:
         """Write the model as a folder of parquet tables; a folder that exists raises."""
-        parts = {"docs": self.docs, "dictionary": self.dictionary, "doc_index": self.doc_index.select("doc_id"), "phi_sum": self.phi_sum, "theta_sum": self.theta_sum}
+        parts = {"state": self.state, "dictionary": self.dictionary, "doc_index": self.doc_index.select("doc_id"), "phi_sum": self.phi_sum, "theta_sum": self.theta_sum}
         for name, df in parts.items():
             if df is not None:
                 df.write.parquet(f"{path}/{name}")
-        meta = {k: getattr(self, k) for k in ("alpha", "beta", "seed", "samples", "cycles", "history")} | {"sums": self.phi_sum is not None}
-        self.docs.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.parquet(f"{path}/meta")
+        meta = {k: getattr(self, k) for k in ("alpha", "beta", "seed", "samples", "cycles", "chunked", "history")} | {"sums": self.phi_sum is not None}
+        self.state.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.parquet(f"{path}/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Model:
@@ -153,23 +157,18 @@ class Model:
         sums = meta.pop("sums")
         read = lambda name: spark.read.parquet(f"{path}/{name}")
         meta |= {"alpha": tuple(meta["alpha"]), "history": tuple(map(tuple, meta["history"]))}
-        return Model(read("docs"), read("dictionary"), read("doc_index"), phi_sum=read("phi_sum") if sums else None, theta_sum=read("theta_sum") if sums else None, **meta)
+        return Model(read("state"), read("dictionary"), read("doc_index"), phi_sum=read("phi_sum") if sums else None, theta_sum=read("theta_sum") if sums else None, **meta)
 
 
 def new_model(corpus: Corpus, n_topics: int, seed: int = 0) -> Model:
-    """Random topics for every token, flat priors."""
-    tokens = gibbs.init_topics(corpus.tokens, n_topics, seed)
-    rows = F.sort_array(F.collect_list(F.struct("pos", "word_id", "topic")))
-    docs = tokens.groupBy("doc_id").agg(rows.alias("r")).select("doc_id", F.transform("r", lambda x: x["word_id"]).alias("word_ids"), F.transform("r", lambda x: x["topic"]).alias("topics"))
-    return Model(materialise(docs, "docs"), corpus.dictionary, corpus.doc_index, (FIRST_ALPHA,) * n_topics, seed=seed)
-
+    """Random topics for every token, flat priors.  Eager: the sampler's state is written.
 
-def _word_topic_table(model: Model, n_words: int) -> np.ndarray:
-    """Dense counts of words and topics; the caller checks the size."""
-    table = np.zeros((n_words, model.n_topics), np.int32)
-    rows = counts.word_topic_counts(model.corpus()).toPandas()
-    table[rows["word_id"], rows["topic"]] = rows["n"]
-    return table
+    The tokens, not the cluster, say how many blocks there are.
+    """
+    n_blocks = max(1, -(-corpus.tokens.count() // gibbs.BLOCK_TOKENS))
+    chunked = not corpus.tokens.filter(F.col("pos") >= gibbs.CHUNK).isEmpty()
+    state = gibbs.first_state(gibbs.init_topics(corpus.tokens, n_topics, seed), n_blocks)
+    return Model(materialise(state, "state"), corpus.dictionary, corpus.doc_index, (FIRST_ALPHA,) * n_topics, seed=seed, chunked=chunked)
 
 
 def optimised_alpha(model: Model) -> tuple[float, ...]:
@@ -186,35 +185,25 @@ def optimised_alpha(model: Model) -> tuple[float, ...]:
 def sampled(model: Model) -> Model:
     """One more sample of phi and theta."""
     corpus = model.corpus()
-    new = {"phi": scores.phi(corpus, model.dictionary, model.n_topics, model.beta), "theta": scores.theta(corpus, model.doc_index, model.alpha)}
+    new = {
+        "phi": scores.phi_vectors(corpus, model.dictionary, model.n_topics, model.beta).drop("mean_log"),
+        "theta": scores.theta_vectors(corpus, model.doc_index, model.alpha),
+    }
     sums = {}
     for value, rows in new.items():
-        keys = rows.columns[:2]
-        old = getattr(model, f"{value}_sum")
-        rows = rows.withColumnRenamed(value, f"{value}_sum")
-        if old is not None:
-            rows = old.select(rows.columns).union(rows).groupBy(*keys).agg(F.sum(f"{value}_sum").alias(f"{value}_sum"))
-        sums[f"{value}_sum"] = materialise(rows, f"{value}-sum")
+        name = f"{value}_sum"
+        rows, old = rows.withColumnRenamed(value, name), getattr(model, name)
+        sums[name] = materialise(rows if old is None else scores.add_vectors(old, rows, rows.columns[0], name), f"{value}-sum")
     return replace(model, samples=model.samples + 1, **sums)
 
 
-def swept(model: Model, cycle: int, n_words: int, max_cells: int = MAX_CELLS) -> Model:
-    """One sweep over all tokens, written to the shared folder.
-
-    The word-topic table is broadcast if it has at most ``max_cells`` cells; a larger
-    vocabulary is swept by joins, synchronously.
-    """
-    if n_words * model.n_topics <= max_cells:
-        table = _word_topic_table(model, n_words)
-        docs = gibbs.parallel_sweep(model.docs, table, model.alpha, model.beta, model.seed, cycle)
-    else:
-        tokens = gibbs.synchronous_sweep(model.corpus(), n_words, model.alpha, model.beta, model.seed, cycle)
-        rows = F.sort_array(F.collect_list(F.struct("pos", "word_id", "topic")))
-        docs = tokens.groupBy("doc_id").agg(rows.alias("r")).select("doc_id", F.transform("r", lambda x: x["word_id"]).alias("word_ids"), F.transform("r", lambda x: x["topic"]).alias("topics"))
-    return replace(model, docs=materialise(docs, "docs"))
+def swept(model: Model, cycle: int, n_words: int) -> Model:
+    """One sweep over all tokens, written to the shared folder."""
+    state = gibbs.parallel_sweep(model.state, n_words, model.alpha, model.beta, model.seed, cycle, model.chunked)
+    return replace(model, state=materialise(state, "state"))
 
 
-def train(model: Model, cycles: int, schedule: Schedule | None = None, max_cells: int = MAX_CELLS) -> Model:
+def train(model: Model, cycles: int, schedule: Schedule | None = None) -> Model:
     """``cycles`` more cycles; ends early once the perplexity hardly changes.
 
     A cycle is a sweep; then, as the schedule says, the prior is optimised, a sample
@@ -229,13 +218,13 @@ def train(model: Model, cycles: int, schedule: Schedule | None = None, max_cells
     for cycle in range(model.cycles, model.cycles + cycles):
         began = time.time()
         last = model
-        model = swept(model, cycle, n_words, max_cells)
+        model = swept(model, cycle, n_words)
         if schedule.optimises(cycle):
             model = replace(model, alpha=optimised_alpha(model))
         if schedule.samples(cycle):
             model = sampled(model)
         kind = "burn-in" if cycle < schedule.burn_in else "sampling" if schedule.samples(cycle) else "optimising" if schedule.optimises(cycle) else "sample-lagging"
-        for part in ("docs", "phi_sum", "theta_sum"):
+        for part in ("state", "phi_sum", "theta_sum"):
             old = getattr(last, part)
             if old is not getattr(given, part) and old is not getattr(model, part):
                 discard(old)

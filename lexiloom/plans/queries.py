@@ -20,14 +20,15 @@ from lexiloom.operators.ordering import dense_ids
 from lexiloom.plans import lda
 from lexiloom.plans.pipeline import Pipeline
 from lexiloom.sources.stopwords import default_stopwords, stopword_table
-from lexiloom.storage import materialise, read_table
+from lexiloom.sources.text_files import read_lines
+from lexiloom.storage import materialise, new_path, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-#: Topics of ``corpus``, and those of models made here.
-N_TOPICS, FEW_TOPICS = 50, 4
-ALPHA, FEW_ALPHA = (lda.FIRST_ALPHA,) * N_TOPICS, (lda.FIRST_ALPHA,) * FEW_TOPICS
+#: Topics of ``corpus``, and those of the small models trained here.
+N_TOPICS, FEW_TOPICS = 50, 3
+ALPHA = (lda.FIRST_ALPHA,) * N_TOPICS
 CUSTOM_STOPWORDS = ("the", "topic", "and", "documents")
 
 
@@ -71,6 +72,53 @@ def clean_urls(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", T.remove_urls(text).alias("text"))
 
 
+@query
+def clean_python(spark: SparkSession, d: str) -> DataFrame:
+    """A step of the user's own in plain Python, between two that are built in."""
+    return _cleaned(spark, d, T.lower_case, T.python_step(_swapped), T.punctuation_to_space)
+
+
+def _swapped(text: str) -> str:
+    return text.replace("topic", "theme")
+
+
+# --- text files ----
+
+
+def _lines_of(spark: SparkSession, texts: DataFrame, charset: str) -> DataFrame:
+    """Texts in the order of ``doc_id`` as text files, read line by line."""
+    path = new_path(spark, "text")
+    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("text")
+    # a writer that knows charsets; quotes, escapes and separators are turned off
+    plain = {"encoding": charset, "quote": "", "sep": "\u0001", "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    if charset == "UTF-8":
+        ordered.write.text(path)
+    else:
+        ordered.write.options(**plain).csv(path)
+    return read_lines(spark, path, charset)
+
+
+@query
+def scan_text(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as UTF-8 files, every line a document of its own."""
+    return _lines_of(spark, _docs(spark, d), "UTF-8")
+
+
+@query
+def scan_charset(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as Latin-1 files, one quoted line each."""
+    one_line = F.concat(F.lit("> "), F.regexp_replace("text", "[\\x00-\\x1f]+", " "))
+    return _lines_of(spark, _docs(spark, d).select("doc_id", one_line.alias("text")), "ISO-8859-1")
+
+
+@query
+def scan_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The small table of reading samples as a list of texts in memory, put through the pipeline that changes nothing."""
+    rows = read_table(spark, d, "reading_samples").orderBy("sample_id").collect()
+    corpus = Pipeline.noop().run_texts(spark, [r["text"] for r in rows])
+    return V.decode(corpus.tokens, corpus.dictionary)
+
+
 # --- tokens -------------------------------------------------------------------
 
 
@@ -127,6 +175,25 @@ def empty_docs(spark: SparkSession, d: str) -> DataFrame:
     return V.empty_documents(_docs(spark, d), _unstopped(spark, d).filter("token <> ''"))
 
 
+@query
+def filter_settings(spark: SparkSession, d: str) -> DataFrame:
+    """The bounds of the default filter, and of one with all bounds switched on."""
+    every = V.TokenFilter().use(**dict.fromkeys(V.TokenFilter.SWITCHED_ON, True))
+    rows = [(kind, name, float(value)) for kind, f in (("default", V.TokenFilter.default()), ("all", every)) for name, value in f.bounds().items()]
+    return spark.createDataFrame(rows, "kind string, bound string, value double")
+
+
+@query
+def nothing_left(spark: SparkSession, d: str) -> DataFrame:
+    """Whether filters that leave no token of the documents are refused."""
+    try:
+        V.require_tokens(V.filter_tokens(_tokenised(spark, d), _docs(spark, d), V.TokenFilter(min_length=1_000_000)))
+        refused = False
+    except ValueError:
+        refused = True
+    return spark.createDataFrame([(refused,)], "refused boolean")
+
+
 FILTERS = {
     "filter_max_freq": V.TokenFilter(max_freq=200),
     "filter_min_freq": V.TokenFilter(min_freq=10),
@@ -284,17 +351,21 @@ def topic_max_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _phi(spark: SparkSession, d: str) -> DataFrame:
-    return S.phi(_corpus(spark, d), _dictionary_table(spark, d), N_TOPICS)
+    return S.phi_vectors(_corpus(spark, d), _dictionary_table(spark, d), N_TOPICS)
+
+
+def _rounded(vectors: DataFrame, key: str, value: str) -> DataFrame:
+    return S.by_topic(vectors, key, value).withColumn(value, F.round(value, 10))
 
 
 @query
 def phi(spark: SparkSession, d: str) -> DataFrame:
-    return _phi(spark, d).select("word_id", "topic", F.round("phi", 10).alias("phi"))
+    return _rounded(_phi(spark, d), "word_id", "phi")
 
 
 @query
 def theta(spark: SparkSession, d: str) -> DataFrame:
-    return S.theta(_corpus(spark, d), _index(spark, d), ALPHA).select("doc_id", "topic", F.round("theta", 10).alias("theta"))
+    return _rounded(S.theta_vectors(_corpus(spark, d), _index(spark, d), ALPHA), "doc_id", "theta")
 
 
 @query
@@ -304,7 +375,7 @@ def geometric_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def phi_column_sum(spark: SparkSession, d: str) -> DataFrame:
-    return S.column_sum(_phi(spark, d)).select("topic", F.round("phi_sum", 6).alias("phi_sum"))
+    return S.column_sum(S.by_topic(_phi(spark, d), "word_id", "phi")).select("topic", F.round("phi_sum", 6).alias("phi_sum"))
 
 
 @query
@@ -313,7 +384,7 @@ def phi_column(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return S.term_scores(_phi(spark, d), _dictionary_table(spark, d))
+    return S.vector_scores(_phi(spark, d), _dictionary_table(spark, d))
 
 
 @query
@@ -322,8 +393,7 @@ def term_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str, n: int) -> DataFrame:
-    # as the SQL has it: scores that differ beyond the eighth decimal are tied
-    return S.top_terms(_scores(spark, d).withColumn("score", F.round("score", 8)), n)
+    return S.top_terms(_scores(spark, d), n).withColumn("score", F.round("score", 8))
 
 
 @query
@@ -333,12 +403,13 @@ def top_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def top_terms_all(spark: SparkSession, d: str) -> DataFrame:
+    """All terms by their scores as they are, not rounded: only equal scores are tied."""
     return _ranked(spark, d, 0)
 
 
 @query
 def top_terms_ranked(spark: SparkSession, d: str) -> DataFrame:
-    """All terms by their scores as they are, not rounded: only equal scores are tied."""
+    """The same with the scores as they are."""
     return S.top_terms(_scores(spark, d), 0)
 
 
@@ -352,6 +423,13 @@ def topic_display(spark: SparkSession, d: str) -> DataFrame:
     return S.topic_display(S.topics_nested(_ranked(spark, d, 10)))
 
 
+@query
+def score_equality(spark: SparkSession, d: str) -> DataFrame:
+    """How often each pair of term and score was delivered: two are equal if both parts are."""
+    pairs = read_table(spark, d, "term_scores").select(F.struct("term", "score").alias("pair"))
+    return pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1").select("pair.term", "pair.score", "n_rows")
+
+
 @query
 def perplexity(spark: SparkSession, d: str) -> DataFrame:
     n_words = _dictionary_table(spark, d).agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -361,9 +439,9 @@ def perplexity(spark: SparkSession, d: str) -> DataFrame:
 @query
 def phi_accumulate(spark: SparkSession, d: str) -> DataFrame:
     """Sums over the phi of the counts and the one of drawn topics."""
-    drawn = S.phi(G.init_topics(_corpus(spark, d), N_TOPICS, 7), _dictionary_table(spark, d), N_TOPICS)
-    summed = S.accumulate([_phi(spark, d), drawn], ["word_id", "topic"], "phi")
-    return summed.select("word_id", "topic", F.round("phi_sum", 10).alias("phi_sum"), "samples")
+    drawn = S.phi_vectors(G.init_topics(_corpus(spark, d), N_TOPICS, 7), _dictionary_table(spark, d), N_TOPICS)
+    summed = S.add_vectors(_phi(spark, d), drawn, "word_id", "phi").withColumnRenamed("phi", "phi_sum")
+    return _rounded(summed, "word_id", "phi_sum").withColumn("samples", F.lit(2))
 
 
 @query
@@ -379,23 +457,38 @@ def reload_sums(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def init_topics(spark: SparkSession, d: str) -> DataFrame:
-    return G.init_topics(_corpus(spark, d), FEW_TOPICS, 7)
+    return G.init_topics(_corpus(spark, d), N_TOPICS, 7)
 
 
 def _drawn(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
     n_words = _dictionary_table(spark, d).agg(F.count(F.lit(1)).alias("n")).scalar()
-    return init_topics(spark, d), n_words
+    return materialise(init_topics(spark, d), "drawn"), n_words
 
 
 @query
 def gibbs_conditional(spark: SparkSession, d: str) -> DataFrame:
-    p = G.conditional(*_drawn(spark, d), FEW_ALPHA)
-    return p.select("doc_id", "pos", "k", F.round("p", 10).alias("p"))
+    """The weights of all topics of every token, in units of 1e-12."""
+    rows = G.conditional(*_drawn(spark, d), ALPHA)
+    units = F.transform("weights", lambda p: F.round(p * F.lit(1e12)).cast("long").cast("string"))
+    return rows.select("doc_id", "pos", _flat(units).alias("weights"))
 
 
 @query
 def gibbs_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return G.synchronous_sweep(*_drawn(spark, d), FEW_ALPHA, seed=7)
+    return G.synchronous_sweep(*_drawn(spark, d), ALPHA, seed=7)
+
+
+#: Topics of the model of the reading samples.
+KERNEL_TOPICS = 5
+
+
+@query
+def gibbs_kernel(spark: SparkSession, d: str) -> DataFrame:
+    """Topics of all tokens of the reading samples after one sweep of the kernel that trains."""
+    texts = read_table(spark, d, "reading_samples").select(F.col("sample_id").cast("long").alias("doc_id"), "text")
+    model = lda.new_model(Pipeline.noop().run(texts), KERNEL_TOPICS, seed=5)
+    swept = lda.swept(model, 0, model.dictionary.count())
+    return swept.corpus().join(model.dictionary, "word_id").select("doc_id", "pos", "token", "topic")
 
 
 @query
@@ -425,12 +518,23 @@ def cycle_schedule(spark: SparkSession, d: str) -> DataFrame:
     return row.select("cycle", s.kind(c).alias("kind"), ((c >= s.burn_in) & (c % s.optimise_lag == 0)).alias("optimises"), ((c >= s.burn_in) & (c % s.sample_lag == 0)).alias("samples"), (c % s.perplexity_lag == 0).alias("checks"))
 
 
+@query
+def alpha_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Number and sum of these priors, and whether any is negative."""
+    a = alpha_iteration(spark, d)
+    return a.agg(F.count(F.lit(1)).alias("n_topics"), F.round(F.sum("alpha"), 6).alias("alpha_sum"), F.bool_or(F.col("alpha") < 0).alias("any_negative"))
+
+
 _SHORT = lda.Schedule(burn_in=4, sample_lag=2, optimise_lag=3, perplexity_lag=5)
+_CYCLES = 8
+
+
+def _new(spark: SparkSession, d: str) -> lda.Model:
+    return lda.new_model(Pipeline.default().run(_docs(spark, d)), FEW_TOPICS, seed=1)
 
 
-def _trained(spark: SparkSession, d: str, n_topics: int = 3, cycles: int = 8) -> lda.Model:
-    corpus = Pipeline.default().run(_docs(spark, d))
-    return lda.train(lda.new_model(corpus, n_topics, seed=1), cycles, _SHORT)
+def _trained(spark: SparkSession, d: str) -> lda.Model:
+    return lda.train(_new(spark, d), _CYCLES, _SHORT)
 
 
 @query
@@ -446,10 +550,41 @@ def train_history(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "cycle int, kind string, perplexity double")
 
 
+@query
+def train_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """The kinds of its cycles, which checked the perplexity, and whether the seconds were taken."""
+    model = _trained(spark, d)
+    rows = [(c, kind, p is not None, seconds > 0 and model.mean_seconds > 0) for c, kind, p, seconds in model.history]
+    return spark.createDataFrame(rows, "cycle int, kind string, checked boolean, timed boolean")
+
+
+@query
+def train_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Training, saving, loading and training on against training through: tokens of the same topic, and what else is equal."""
+    first = _new(spark, d)
+    through = lda.train(first, _CYCLES, _SHORT)
+    path = new_path(spark, "model")
+    lda.train(first, _CYCLES // 2, _SHORT).save(path)
+    resumed = lda.train(lda.Model.load(spark, path), _CYCLES // 2, _SHORT)
+    equal = (through.alpha, through.samples, through.cycles) == (resumed.alpha, resumed.samples, resumed.cycles)
+    both = through.corpus().join(resumed.corpus().withColumnRenamed("topic", "again"), ["doc_id", "pos", "word_id"])
+    return both.agg(F.count(F.lit(1)).alias("tokens"), F.sum(F.when(F.col("topic") == F.col("again"), 1).otherwise(0)).alias("same_topic"), F.lit(equal).alias("same_model"))
+
+
+@query
+def model_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What a new model says of itself and of its corpus."""
+    m = _new(spark, d)
+    corpus = m.corpus()
+    of_corpus = C.corpus_scalars(corpus, m.dictionary, m.doc_index)
+    return of_corpus.select("*", F.lit(m.n_topics).alias("n_topics"), F.lit(m.beta).alias("beta"), F.lit(round(sum(m.alpha), 8)).alias("alpha_sum"), F.lit(m.samples).alias("samples"), F.lit(m.cycles).alias("cycles"), F.lit(round(m.mean_length(), 6)).alias("mean_length"))
+
+
 def _generated(spark: SparkSession, d: str, n_docs: int) -> DataFrame:
     """Documents from the distributions of ``corpus``."""
     n_d = C.mean_length(_lengths(spark, d)).first()["mean_length"]
-    return generate_documents(spark, n_docs, ALPHA, materialise(_phi(spark, d), "phi"), n_d, seed=3)
+    rows = materialise(S.by_topic(_phi(spark, d), "word_id", "phi"), "phi")
+    return generate_documents(spark, n_docs, ALPHA, rows, n_d, seed=3)
 
 
 @query

@@ -1,10 +1,13 @@
 """Counts, scores, the sampler, training and generation."""
 
+import hashlib
 import math
 import random
+from itertools import accumulate
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,11 +16,12 @@ from pyspark.sql import functions as F
 from lexiloom.functions.rng import uniform, uniform_int
 from lexiloom.operators import alpha as prior
 from lexiloom.operators import counts as C
+from lexiloom.operators import generate
 from lexiloom.operators import gibbs as G
 from lexiloom.operators import scores as S
-from lexiloom.operators.generate import _drawn_by_merge, generate_documents, generate_texts
+from lexiloom.operators.generate import generate_documents, generate_texts, poisson_table
 from lexiloom.plans import lda
-from lexiloom.plans.pipeline import Pipeline
+from lexiloom.plans.pipeline import Corpus, Pipeline
 
 KINDS = ["a b c d filler".split(), "1 2 3 4 filler".split(), "a b 3 4 filler".split()]
 SHORT = lda.Schedule(burn_in=10, sample_lag=5, optimise_lag=20, perplexity_lag=10)
@@ -110,7 +114,7 @@ def test_no_samples(spark):
     with pytest.raises(ValueError):
         model.phi()
     assert lda.train(model, 0) == model
-    assert lda.train(model, 1, max_cells=0).corpus().count() == 4  # swept by joins
+    assert lda.train(model, 1).corpus().count() == 4 and model.mean_seconds == 0
     with pytest.raises(ValueError):
         lda.Schedule(sample_lag=0)
 
@@ -122,21 +126,41 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert {r["k"] for r in rows.collect()} == set(range(5))
 
 
-def test_generation_for_any_vocabulary(spark):
-    phi = spark.createDataFrame([(w, k, 0.7 if w == k else 0.1) for w in range(4) for k in range(2)], "word_id int, topic int, phi double")
-    drawn = spark.range(4000).select(F.lit(0).cast("long").alias("doc_id"), F.col("id").cast("int").alias("pos"), F.lit(1).alias("topic"), uniform(4, "id").alias("u"))
-    share = {r["word_id"]: r["count"] / 4000 for r in _drawn_by_merge(drawn, phi, parts=3).groupBy("word_id").count().collect()}
-    assert set(share) == {0, 1, 2, 3} and abs(share[1] - 0.7) < 0.04
-    none = generate_documents(spark, 3, [1.0, 1.0], phi, 0.0)
+def brute_generated(phi, weights, n_docs, mean, seed):
+    """The same draws, one by one."""
+    u = lambda *key: int(hashlib.md5(":".join(map(str, (seed, *key))).encode()).hexdigest()[:13], 16) / 2**52
+    pick = lambda probabilities, x: min(sum(s < x for s in accumulate(probabilities)), len(probabilities) - 1)
+    words = sorted({w for w, _, _ in phi})
+    of = {k: [p for w in words for v, t, p in phi if (v, t) == (w, k)] for k in range(len(weights))}
+    low, upto = poisson_table(mean)
+    for d in range(n_docs):
+        for pos in range(low + min(sum(s < u("length", d) for s in upto), len(upto) - 1)):
+            k = pick(weights, u("topic", d, pos) * sum(weights))
+            yield d, pos, words[pick(of[k], u("word", d, pos) * sum(of[k]))]
+
+
+@pytest.mark.parametrize("fanout", [2, 7, 256])
+def test_generation_against_brute_force(spark, monkeypatch, fanout):
+    monkeypatch.setattr(generate, "FANOUT", fanout)
+    rng = random.Random(8)
+    rows = [(3 * w, k, rng.random() / 50 if rng.random() < 0.9 else 0.0) for w in range(90) for k in range(3)]
+    phi = spark.createDataFrame(rows, "word_id int, topic int, phi double")
+    weights = [0.2, 0.5, 0.3]
+    got = sorted(map(tuple, generate_documents(spark, 30, weights, phi, 12.5, 5).collect()))
+    assert got == sorted(brute_generated(rows, weights, 30, 12.5, 5))
+    again = generate_documents(spark, 30, weights, phi.repartition(5, "topic"), 12.5, 5)
+    assert sorted(map(tuple, again.collect())) == got
+    none = generate_documents(spark, 3, [1.0, 1.0, 0.0], phi, 0.0)
     words = spark.createDataFrame([(0, "x")], "word_id int, token string")
     assert [r["text"] for r in generate_texts(spark, 3, none, words).collect()] == ["", "", ""]
 
 
-def test_generation_is_the_same_at_any_size(spark):
-    rng = random.Random(8)
-    phi = spark.createDataFrame([(w, k, rng.random() / 150) for w in range(300) for k in range(3)], "word_id int, topic int, phi double")
-    broadcast, joined = (sorted(map(tuple, generate_documents(spark, 40, [0.2, 0.5, 0.3], phi, 30.0, 5, max_cells).collect())) for max_cells in (900, 0))
-    assert len(broadcast) > 900 and broadcast == joined
+@pytest.mark.parametrize("mean", [0.3, 40.0, 2000.0])
+def test_poisson(mean):
+    low, upto = poisson_table(mean)
+    share = np.diff([0.0, *upto])
+    numbers = np.arange(low, low + len(share))
+    assert abs(upto[-1] - 1) < 1e-9 and abs(share @ numbers - mean) < 1e-6 * mean + 1e-9 and abs(share @ (numbers - mean) ** 2 - mean) < 1e-5 * mean
 
 
 def test_optimise_alpha():
@@ -150,17 +174,78 @@ def test_optimise_alpha():
     assert prior.optimise_alpha([1.0, 1.0], {1: 1}, [{}, {}], 1) == [0.1, 0.1]  # negative
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 2), min_size=1, max_size=30), st.integers(0, 9))
-def test_sweep_conserves_counts(words, seed):
+def brute_sweep(docs, totals, of_word, alpha, beta, n_words, seed, sweep):
+    """``docs``: (doc_id, chunk, words, topics, counts elsewhere); position by position, plainly."""
+    n_topics = len(alpha)
+    of_word = {w: list(c) for w, c in of_word.items()}
+    totals = list(totals)
+    topics = [list(t) for _, _, _, t, _ in docs]
+    of_doc = [[t.count(k) + (e[k] if e else 0) for k in range(n_topics)] for t, (*_, e) in zip(topics, docs)]
+    for i in range(max(len(t) for t in topics)):
+        fresh = {}
+        for j, (d, c, words, _, _) in enumerate(docs):
+            if i < len(words):
+                old = topics[j][i]
+                own = [k == old for k in range(n_topics)]
+                p = [(of_doc[j][k] - own[k] + alpha[k]) * (of_word[words[i]][k] - own[k] + beta) / (totals[k] - own[k] + beta * n_words) for k in range(n_topics)]
+                u = int(hashlib.md5(f"{seed}:{sweep}:{d}:{c}:{i}".encode()).hexdigest()[:8], 16) / 2**32
+                upto = list(accumulate(p))
+                fresh[j] = old, min(sum(x < u * upto[-1] for x in upto), n_topics - 1)
+        for j, (old, new) in fresh.items():
+            for counts in (of_doc[j], of_word[docs[j][2][i]], totals):
+                counts[old] -= 1
+                counts[new] += 1
+            topics[j][i] = new
+    return topics
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 4), min_size=1, max_size=12), min_size=1, max_size=8), st.integers(0, 9))
+def test_kernel_against_brute_force(texts, seed):
     rng = np.random.default_rng(seed)
-    topics = rng.integers(0, 3, len(words)).tolist()
-    n_wk = [[sum(w == v and k == t for w, k in zip(words, topics)) for t in range(3)] for v in range(3)]
-    n_k = [topics.count(t) for t in range(3)]
-    n_dk = [G.document_counts(topics, 3)]
-    G.sweep_tokens([(words, topics)], n_wk, n_k, n_dk, [0.1] * 3, 0.2, rng.random(len(words)))
-    assert n_k == [topics.count(t) for t in range(3)] == n_dk[0]
-    assert n_wk == [[sum(w == v and k == t for w, k in zip(words, topics)) for t in range(3)] for v in range(3)]
+    alpha, beta = [0.1, 0.4, 0.2], 0.2
+    docs = [(7 * j, j % 2, words, rng.integers(0, 3, len(words)).tolist(), [2, 0, 5] if j == 1 else None) for j, words in enumerate(texts)]
+    of_word = {w: (rng.integers(0, 3, 3) + [sum(v == w and z == k for _, _, ws, ts, _ in docs for v, z in zip(ws, ts)) for k in range(3)]).tolist() for w in {w for x in texts for w in x}}
+    totals = [sum(c[k] for c in of_word.values()) + 4 for k in range(3)]
+    frame = pd.DataFrame([(d, c, np.array(w, np.int32), np.array(t, np.int32), None if e is None else np.array(e)) for d, c, w, t, e in docs], columns=["doc_id", "chunk", "first", "second", "elsewhere"])
+    frame["elsewhere"] = frame["elsewhere"].astype(object).where(frame["elsewhere"].notna(), None)
+    words = pd.DataFrame([(w, np.flatnonzero(c), np.array(c)[np.flatnonzero(c)]) for w, c in sorted(of_word.items(), reverse=True)], columns=["word_id", "first", "second"])
+    got = G.sweep_block(frame, words, totals, alpha, beta, 9, seed, 3)
+    assert [x.tolist() for x in got] == brute_sweep(docs, totals, of_word, alpha, beta, 9, seed, 3)
+    tally = G.block_counts([d[2] for d in docs], got, 3)
+    assert sum(int(x.sum()) for x in tally["second"]) == sum(map(len, texts))
+
+
+def test_sweeps_do_not_depend_on_partitions(spark, monkeypatch):
+    from dataclasses import replace
+
+    monkeypatch.setattr(G, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(G, "CHUNK", 40)
+    rng = random.Random(9)
+    corpus = Pipeline.noop().run_texts(spark, [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 130))) for _ in range(40)])
+    model = lda.new_model(corpus, 3, seed=2)
+    assert model.chunked and model.state.select("block").distinct().count() > 3
+    topics = []
+    for n in (1, 4):
+        spread = replace(model, state=model.state.repartition(n))
+        swept = lda.swept(lda.swept(spread, 0, 8), 1, 8)
+        topics.append(sorted(map(tuple, swept.corpus().collect())))
+        # what the blocks say of the words is what the documents hold
+        held = G.state_counts(swept.state).groupBy("word_id", "topic").agg(F.sum("n").alias("n"))
+        assert sorted(map(tuple, held.collect())) == sorted(map(tuple, C.word_topic_counts(swept.corpus()).collect()))
+    assert topics[0] == topics[1] and len(topics[0]) == corpus.tokens.count()
+    assert {(d, p): w for d, p, w, _ in topics[0]} == {(r["doc_id"], r["pos"]): r["word_id"] for r in corpus.tokens.collect()}
+    assert topics[0] != sorted(map(tuple, model.corpus().collect()))
+
+
+def test_large_vocabulary(spark):
+    # more than five million cells of words and topics
+    tokens = spark.range(120_000).select((F.col("id") / 60).cast("long").alias("doc_id"), (F.col("id") % 60).cast("int").alias("pos"), (F.col("id") * 7 % 110_000).cast("int").alias("word_id"))
+    words = spark.range(110_000).select(F.col("id").cast("int").alias("word_id"), F.col("id").cast("string").alias("token"))
+    model = lda.new_model(Corpus(tokens, words, tokens.select("doc_id").distinct()), 50)
+    swept = lda.swept(model, 0, 110_000)
+    moved = swept.corpus().join(model.corpus().withColumnRenamed("topic", "old"), ["doc_id", "pos", "word_id"]).filter("topic <> old").count()
+    assert swept.corpus().count() == 120_000 and 60_000 < moved < 120_000
 
 
 def test_empty_corpus(spark):
