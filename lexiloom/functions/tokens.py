@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.binding import let
+
 
 def split_tokens(text: Column, delimiter: str = " ") -> Column:
     """Split at a regular expression.
@@ -15,9 +17,8 @@ def split_tokens(text: Column, delimiter: str = " ") -> Column:
     """
     last = lambda parts: F.coalesce(F.array_max(F.transform(parts, lambda x, i: F.when(x != "", i + 1))), F.lit(0))
     whole = lambda parts: (F.size(parts) == 1) | (F.element_at(parts, -1) != "")
-    # the parts are bound once, so the text is named, and worked out, once
-    bound = F.transform(F.array(F.split(text, delimiter)), lambda parts: F.when(whole(parts), parts).otherwise(F.slice(parts, 1, last(parts))))
-    return F.get(bound, F.lit(0))
+    # the text is named, and worked out, once
+    return let(F.split(text, delimiter), lambda parts: F.when(whole(parts), parts).otherwise(F.slice(parts, 1, last(parts))))
 
 
 def token_rows(documents: DataFrame) -> DataFrame:

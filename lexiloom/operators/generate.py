@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.functions.binding import let
 from lexiloom.functions.rng import uniform_fine
 from lexiloom.functions.tokens import join_tokens
 from lexiloom.operators.joins import split_join
@@ -39,6 +40,10 @@ def poisson_table(mean: float) -> tuple[int, list[float]]:
 
 def bisected(sums: Column, goal: Column, size: int) -> Column:
     """The first place of an ascending array that reaches ``goal``, the last one at most; ``size``: the longest array."""
+    return let(sums, lambda s: let(goal, lambda g: _bisected(s, g, size)))
+
+
+def _bisected(sums: Column, goal: Column, size: int) -> Column:
     steps = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(max(size, 2))) + 1)))
     start = F.struct(F.lit(0).alias("low"), (F.size(sums) - 1).alias("up"))
 

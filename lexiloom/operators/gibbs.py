@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.binding import let
 from lexiloom.functions.rng import uniform, uniform_int, uniforms
 from lexiloom.operators.counts import count_vectors, document_topic_counts, topic_totals, word_topic_counts
 from lexiloom.operators.joins import split_join
@@ -46,14 +47,15 @@ def conditional(corpus: DataFrame, n_words: Column | int, alpha: Sequence[float]
     by_doc = count_vectors(document_topic_counts(corpus), "doc_id", n_topics).withColumnRenamed("counts", "_d")
     by_word = count_vectors(word_topic_counts(corpus), "word_id", n_topics).withColumnRenamed("counts", "_w")
     tokens = split_join(corpus.select("doc_id", "pos", "word_id", "topic"), by_doc, "doc_id")
-    tokens = split_join(tokens, by_word, "word_id")
+    tokens = split_join(tokens, by_word, "word_id", heavy=True)
     tokens = tokens.withColumns({"_t": topic_totals(corpus, n_topics), "_v": F.lit(beta) * n_words, "_a": F.array(*map(F.lit, map(float, alpha)))})
 
-    def weight(n: Column, k: Column) -> Column:
-        own = F.when(k == F.col("topic"), 1).otherwise(0)
-        return (n - own + F.get("_a", k)) * (F.get("_w", k) - own + F.lit(beta)) / (F.get("_t", k) - own + F.col("_v"))
+    def weights(a: Column, t: Column, v: Column) -> Column:
+        own = lambda k: F.when(k == F.col("topic"), 1).otherwise(0)
+        return F.transform("_d", lambda n, k: (n - own(k) + F.get(a, k)) * (F.get("_w", k) - own(k) + F.lit(beta)) / (F.get(t, k) - own(k) + v))
 
-    return tokens.select("doc_id", "pos", "word_id", "topic", F.transform("_d", weight).alias("weights"))
+    bound = let(F.col("_a"), lambda a: let(F.col("_t"), lambda t: let(F.col("_v"), lambda v: weights(a, t, v))))
+    return tokens.select("doc_id", "pos", "word_id", "topic", bound.alias("weights"))
 
 
 def draw(weights: DataFrame, keys: Sequence[str], category: str, weight: str, u: Column, name: str) -> DataFrame:
@@ -78,9 +80,10 @@ def reached(weights: Column, goal: Column) -> Column:
 
 def synchronous_sweep(corpus: DataFrame, n_words: Column | int, alpha: Sequence[float], beta: float = 0.2, seed: int = 0, sweep: int = 1) -> DataFrame:
     """``doc_id, pos, word_id, topic``: every token redrawn from the counts before the sweep."""
-    total = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w)
-    rows = conditional(corpus, n_words, alpha, beta).select("doc_id", "pos", "word_id", "weights", (uniform(seed, sweep, "doc_id", "pos") * total).alias("_goal"))
-    return rows.select("doc_id", "pos", "word_id", reached(F.col("weights"), F.col("_goal")).alias("topic"))
+    total = lambda ws: F.aggregate(ws, F.lit(0.0), lambda s, w: s + w)
+    u = uniform(seed, sweep, "doc_id", "pos")
+    topic = let(F.col("weights"), lambda ws: let(u * total(ws), lambda goal: reached(ws, goal)))
+    return conditional(corpus, n_words, alpha, beta).select("doc_id", "pos", "word_id", topic.alias("topic"))
 
 
 # --- training ---------------------------------------------------------------------
@@ -173,7 +176,7 @@ def block_counts(words: list[np.ndarray], topics: list[np.ndarray], n_topics: in
     return pd.DataFrame({"word_id": ids.astype(np.int32), "first": np.split((key % n_topics).astype(np.int32), starts[1:]), "second": np.split(n.astype(np.int32), starts[1:])})
 
 
-def parallel_sweep(state: DataFrame, n_words: int, alpha: Sequence[float], beta: float, seed: int, sweep: int, chunked: bool) -> DataFrame:
+def parallel_sweep(state: DataFrame, n_words: int, alpha: Sequence[float], beta: float, seed: int, sweep: int, n_blocks: int, chunked: bool) -> DataFrame:
     """The state after one sweep over all documents.
 
     Every block is swept against the counts that its words have in all documents before
@@ -209,5 +212,8 @@ def parallel_sweep(state: DataFrame, n_words: int, alpha: Sequence[float], beta:
         kinds = {"doc_id": "Int64", "chunk": "Int32", "word_id": "Int32"}
         return pd.concat([swept[columns].astype(kinds), tally[columns].astype(kinds)])
 
-    left = docs.select("block", "doc_id", "chunk", "first", "second", elsewhere.alias("elsewhere")).groupBy("block")
+    # few bytes but much work: one partition for each block or two, up to as many as a shuffle has
+    spark = state.sparkSession
+    partitions = min(2 * n_blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))
+    left = docs.select("block", "doc_id", "chunk", "first", "second", elsewhere.alias("elsewhere")).repartition(partitions, "block").groupBy("block")
     return left.cogroup(words.groupBy("of_block")).applyInPandas(run, STATE)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.storage import shuffled
+
 #: A key is split if it holds more than this part of the rows, so there are at most so many such keys.
 PARTS = 10_000
 
@@ -16,13 +18,14 @@ def fits_broadcast(table: DataFrame) -> bool:
     return int(size) <= limit
 
 
-def split_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def split_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", heavy: bool = False) -> DataFrame:
     """``rows`` joined to ``table`` on ``key``, of which the table has each value once; ``how``: inner, left or left_semi.
 
     A table that is small enough is left to the planner, which broadcasts it.  Beyond
     that, a key that holds more than 1 / ``PARTS`` of the rows is spread over parts of about that
     size, and its row of the table is repeated for them.  There are fewer than
     ``PARTS`` such keys, so they may be broadcast, and fewer than twice as many repeated rows.
+    ``heavy``: the result is worked on at length, so its partitions are not merged by their bytes.
     Rows with a null key have no partner.  ``rows`` is read twice, so a stream is joined as it comes.
     """
     if rows.isStreaming or fits_broadcast(table):
@@ -35,4 +38,6 @@ def split_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner")
     spread = rows.join(hot, key, "left").withColumn("_part", part).drop("_parts")
     every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
     repeated = table.join(hot, key, "left").withColumn("_part", every).drop("_parts")
+    if heavy:
+        spread = shuffled(spread, key, "_part")
     return spread.join(repeated, [key, "_part"], how).drop("_part")

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.binding import let
 from lexiloom.operators.counts import assigned, count_vectors, document_topic_counts, topic_totals, word_topic_counts
 from lexiloom.operators.joins import split_join
 from lexiloom.operators.ordering import dense_ids
-from lexiloom.storage import materialise
+from lexiloom.storage import materialise, shuffled
 
 
 def phi_vectors(corpus: DataFrame, dictionary: DataFrame, n_topics: int, beta: float = 0.2) -> DataFrame:
@@ -21,13 +22,18 @@ def phi_vectors(corpus: DataFrame, dictionary: DataFrame, n_topics: int, beta: f
     """
     n_words = dictionary.agg(F.count(F.lit(1)).alias("v")).scalar()
     held = count_vectors(word_topic_counts(corpus), "word_id", n_topics)
-    full = dictionary.select("word_id").join(held, "word_id", "left")
+    full = shuffled(dictionary.select("word_id"), "word_id").join(held, "word_id", "left")
     # without assigned tokens the totals are null
     total = F.coalesce(topic_totals(corpus, n_topics), F.array_repeat(F.lit(0).cast("long"), n_topics))
-    full = full.select("word_id", F.coalesce("counts", F.array_repeat(F.lit(0).cast("long"), n_topics)).alias("n"), total.alias("n_k"), (F.lit(beta) * n_words).alias("b"))
+    full = full.select("word_id", F.coalesce("counts", F.array_repeat(F.lit(0).cast("long"), n_topics)).alias("n"))
     added = lambda ns, more: F.aggregate(ns, F.lit(0.0), lambda s, n: s + F.ln(n + more))
-    mean = (added(F.array_sort("n"), F.lit(beta)) - added("n_k", F.col("b"))) / n_topics
-    return full.select("word_id", F.transform("n", lambda n, k: (n + F.lit(beta)) / (F.get("n_k", k) + F.col("b"))).alias("phi"), mean.alias("mean_log"))
+    # the denominators and their logarithms are the same for all words: a table of one row
+    below = dictionary.sparkSession.range(1).select(total.alias("n_k"), (F.lit(beta) * n_words).alias("b"))
+    below = below.select(let(F.col("b"), lambda b: F.transform("n_k", lambda n: n + b)).alias("below"), let(F.col("b"), lambda b: added("n_k", b)).alias("logs"))
+    full = full.withColumns({c: below.select(c).scalar() for c in below.columns})
+    mean = (added(F.array_sort("n"), F.lit(beta)) - F.col("logs")) / n_topics
+    phis = let(F.col("below"), lambda d: F.transform("n", lambda n, k: (n + F.lit(beta)) / F.get(d, k)))
+    return full.select("word_id", phis.alias("phi"), mean.alias("mean_log"))
 
 
 def phi(corpus: DataFrame, dictionary: DataFrame, n_topics: int, beta: float = 0.2) -> DataFrame:
@@ -43,11 +49,12 @@ def by_topic(vectors: DataFrame, key: str, value: str) -> DataFrame:
 def theta_vectors(corpus: DataFrame, doc_index: DataFrame, alpha: Sequence[float]) -> DataFrame:
     """``doc_id, theta ARRAY<DOUBLE>`` of every document of the index: (n_dk + alpha_k) / (n_d + sum alpha) of each topic."""
     held = count_vectors(document_topic_counts(corpus), "doc_id", len(alpha))
-    full = doc_index.select("doc_id").join(held, "doc_id", "left")
-    full = full.select("doc_id", F.coalesce("counts", F.array_repeat(F.lit(0).cast("long"), len(alpha))).alias("n"), F.array(*map(F.lit, map(float, alpha))).alias("a"))
-    n_d = F.aggregate("n", F.lit(0).cast("long"), lambda s, n: s + n) + F.lit(float(sum(alpha)))
-    full = full.withColumn("n_d", n_d)
-    return full.select("doc_id", F.transform("n", lambda n, k: (n + F.get("a", k)) / F.col("n_d")).alias("theta"))
+    full = shuffled(doc_index.select("doc_id"), "doc_id").join(held, "doc_id", "left")
+    full = full.select("doc_id", F.coalesce("counts", F.array_repeat(F.lit(0).cast("long"), len(alpha))).alias("n"))
+    n_d = lambda ns: F.aggregate(ns, F.lit(0).cast("long"), lambda s, n: s + n) + F.lit(float(sum(alpha)))
+    shares = lambda ns, below, a: F.transform(ns, lambda n, k: (n + F.get(a, k)) / below)
+    weights = F.array(*map(F.lit, map(float, alpha)))
+    return full.select("doc_id", let(F.col("n"), lambda ns: let(n_d(ns), lambda below: let(weights, lambda a: shares(ns, below, a)))).alias("theta"))
 
 
 def theta(corpus: DataFrame, doc_index: DataFrame, alpha: Sequence[float]) -> DataFrame:
@@ -91,8 +98,9 @@ def vector_scores(vectors: DataFrame, dictionary: DataFrame) -> DataFrame:
     """As :func:`term_scores`, of ``word_id, phi ARRAY<DOUBLE>``, with ``mean_log`` if there is one: nothing is grouped, the terms are joined to words, not to words and topics."""
     mean = F.col("mean_log") if "mean_log" in vectors.columns else _mean_log(F.col("phi"))
     words = vectors.select("word_id", "phi", mean.alias("mean")).join(dictionary.select("word_id", "token"), "word_id")
-    scored = words.select("word_id", F.col("token").alias("term"), F.transform("phi", lambda x: x * (F.ln(x) - F.col("mean"))).alias("score"))
-    return scored.select("word_id", F.posexplode("score").alias("topic", "score"), "term").select("word_id", "topic", "term", "score")
+    # exploded first: the scores are then plain arithmetic on rows
+    rows = words.select("word_id", F.col("token").alias("term"), "mean", F.posexplode("phi").alias("topic", "phi"))
+    return rows.select("word_id", "topic", "term", (F.col("phi") * (F.ln("phi") - F.col("mean"))).alias("score"))
 
 
 def top_terms(scores: DataFrame, n: int) -> DataFrame:

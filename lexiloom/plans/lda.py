@@ -64,7 +64,7 @@ class Model:
     """A snapshot: further training makes a new one.
 
     ``state``: the sampler's rows (``gibbs.STATE``); ``phi_sum``: ``word_id, phi_sum ARRAY<DOUBLE>``; ``theta_sum``: ``doc_id, theta_sum
-    ARRAY<DOUBLE>``, both null before the first sample; ``chunked``: whether a document has more than one chunk;
+    ARRAY<DOUBLE>``, both null before the first sample; ``n_blocks``: blocks of documents; ``chunked``: whether a document has more than one chunk;
     ``history``: (cycle, kind, perplexity or None, seconds).
     """
 
@@ -76,6 +76,7 @@ class Model:
     seed: int = 0
     samples: int = 0
     cycles: int = 0
+    n_blocks: int = 1
     chunked: bool = False
     phi_sum: DataFrame | None = None
     theta_sum: DataFrame | None = None
@@ -147,7 +148,7 @@ class Model:
         for name, df in parts.items():
             if df is not None:
                 df.write.parquet(f"{path}/{name}")
-        meta = {k: getattr(self, k) for k in ("alpha", "beta", "seed", "samples", "cycles", "chunked", "history")} | {"sums": self.phi_sum is not None}
+        meta = {k: getattr(self, k) for k in ("alpha", "beta", "seed", "samples", "cycles", "n_blocks", "chunked", "history")} | {"sums": self.phi_sum is not None}
         self.state.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.parquet(f"{path}/meta")
 
     @staticmethod
@@ -168,7 +169,7 @@ def new_model(corpus: Corpus, n_topics: int, seed: int = 0) -> Model:
     n_blocks = max(1, -(-corpus.tokens.count() // gibbs.BLOCK_TOKENS))
     chunked = not corpus.tokens.filter(F.col("pos") >= gibbs.CHUNK).isEmpty()
     state = gibbs.first_state(gibbs.init_topics(corpus.tokens, n_topics, seed), n_blocks)
-    return Model(materialise(state, "state"), corpus.dictionary, corpus.doc_index, (FIRST_ALPHA,) * n_topics, seed=seed, chunked=chunked)
+    return Model(materialise(state, "state"), corpus.dictionary, corpus.doc_index, (FIRST_ALPHA,) * n_topics, seed=seed, n_blocks=n_blocks, chunked=chunked)
 
 
 def optimised_alpha(model: Model) -> tuple[float, ...]:
@@ -199,7 +200,7 @@ def sampled(model: Model) -> Model:
 
 def swept(model: Model, cycle: int, n_words: int) -> Model:
     """One sweep over all tokens, written to the shared folder."""
-    state = gibbs.parallel_sweep(model.state, n_words, model.alpha, model.beta, model.seed, cycle, model.chunked)
+    state = gibbs.parallel_sweep(model.state, n_words, model.alpha, model.beta, model.seed, cycle, model.n_blocks, model.chunked)
     return replace(model, state=materialise(state, "state"))
 
 

@@ -78,6 +78,15 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def shuffled(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` partitioned by ``keys``, in the number of partitions of a shuffle.
+
+    For heavy work on few bytes: that number is kept, where partitions that a join or an
+    aggregation makes of its own accord are merged by their size in bytes.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables: a parquet file or a folder of them."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
