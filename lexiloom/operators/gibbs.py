@@ -23,6 +23,7 @@ from lexiloom.functions.binding import let
 from lexiloom.functions.rng import uniform, uniform_int, uniforms
 from lexiloom.operators.counts import count_vectors, document_topic_counts, topic_totals, word_topic_counts
 from lexiloom.operators.joins import split_join
+from lexiloom.storage import spread
 
 #: Positions of one document that are swept together; what a longer one holds elsewhere is a snapshot, like the words' counts.
 CHUNK = 1 << 16
@@ -46,7 +47,7 @@ def conditional(corpus: DataFrame, n_words: Column | int, alpha: Sequence[float]
     n_topics = len(alpha)
     by_doc = count_vectors(document_topic_counts(corpus), "doc_id", n_topics).withColumnRenamed("counts", "_d")
     by_word = count_vectors(word_topic_counts(corpus), "word_id", n_topics).withColumnRenamed("counts", "_w")
-    tokens = split_join(corpus.select("doc_id", "pos", "word_id", "topic"), by_doc, "doc_id")
+    tokens = split_join(spread(corpus.select("doc_id", "pos", "word_id", "topic")), by_doc, "doc_id")
     tokens = split_join(tokens, by_word, "word_id", heavy=True)
     tokens = tokens.withColumns({"_t": topic_totals(corpus, n_topics), "_v": F.lit(beta) * n_words, "_a": F.array(*map(F.lit, map(float, alpha)))})
 
