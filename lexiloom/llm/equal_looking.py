@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.storage import materialise
+
 # Cyrillic and Greek letters and the Latin letters they are drawn like, in the same order.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХасеѕіјорхуһԁԛԝ"
 CYRILLIC_LATIN = "ABESIJKMHOPCTYXacesijopxyhdqw"
@@ -44,7 +46,7 @@ ALIKE = {"<" + kind for kind in ("compat", "final", "font", "initial", "isolated
 def _tables() -> dict[str, str]:
     single_from, single_to, spaces, several, invisible, accented = [], [], [], {}, [], {}
     lookalike = set(CYRILLIC + CYRILLIC_LATIN + GREEK + GREEK_LATIN)
-    for c in range(0x80, 0x20000):
+    for c in range(0x80, 0x110000):
         x = chr(c)
         kind = unicodedata.category(x)
         if kind == "Zs":
@@ -61,9 +63,10 @@ def _tables() -> dict[str, str]:
                 single_to.append(y)
             else:
                 several[x] = y
-        elif (y := unicodedata.normalize("NFD", x))[0] in lookalike and len(y) > 1:
+        elif unicodedata.decomposition(x) and (y := unicodedata.normalize("NFD", x))[0] in lookalike and len(y) > 1:
             accented[x] = y
-    invisible += [chr(c) for c in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0xFE00, 0xFE10))]
+    # fillers, inherent vowels and variation selectors are drawn as nothing, though they are no format characters
+    invisible += [chr(c) for c in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x180E), 0x180F, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))]
     return {"from": "".join(single_from + spaces), "to": "".join(single_to + [" "] * len(spaces)), "invisible": "".join(invisible), "several": several, "accented": accented}
 
 
@@ -173,8 +176,9 @@ def disguised_copies(documents: DataFrame) -> DataFrame:
 
     One row for each document of a group but the one of the smallest ``doc_id``,
     which is ``keep_id``.  Groups of identical texts, null texts and rows without
-    ``doc_id`` are left out.
+    ``doc_id`` are left out.  Eager: two digests of every text are written, so that no text is worked on twice.
     """
-    keys = consistent_texts(documents.filter("text IS NOT NULL AND doc_id IS NOT NULL")).select("doc_id", F.sha2("text", 256).alias("look"), "original_md5")
+    looks = consistent_texts(documents.filter("text IS NOT NULL AND doc_id IS NOT NULL")).select("doc_id", F.sha2("text", 256).alias("look"), "original_md5")
+    keys = materialise(looks, "looks")
     groups = keys.groupBy("look").agg(F.min("doc_id").alias("keep_id"), F.min("original_md5").alias("a"), F.max("original_md5").alias("b")).filter("a <> b")
     return keys.join(groups, "look").filter("doc_id <> keep_id").select("keep_id", "doc_id").distinct()

@@ -128,6 +128,12 @@ def test_disguised(spark):
     assert equal_looking.disguised_copies(docs(spark, long)).count() == 1
 
 
+def test_invisible_characters(spark):
+    hidden = ["\u200b", "\U000e0041", "\U000e0101", "\U000e01ef", "\u180b", "\ufe0f", "\U0001d173"]
+    got = equal_looking.consistent_texts(docs(spark, [f"a{x}b" for x in hidden])).collect()
+    assert {r["text"] for r in got} == {"ab"}
+
+
 @pytest.mark.parametrize(
     ("text", "others"),
     [
