@@ -247,10 +247,12 @@ def _verified(documents: DataFrame, hashed: DataFrame) -> DataFrame:
     group = ["round", "hash", "symbols"]
     groups = hashed.groupBy(group).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
-    pairs = hashed.join(groups.withColumn("parts", parts), group).filter("doc_id <> keep_id").distinct()
+    # members of groups are few bytes each; written, their size is known, and only their texts are moved
+    pairs = materialise(hashed.join(groups.withColumn("parts", parts), group).distinct(), "groups")
     texts = documents.select(F.col("doc_id").cast("long"), "text").filter("text IS NOT NULL")
-    members = pairs.join(texts, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    firsts = groups.select("keep_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).join(texts.select(F.col("doc_id").alias("keep_id"), F.col("text").alias("keep_text")), "keep_id")
+    members = pairs.filter("doc_id <> keep_id").join(texts, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    own = pairs.filter("doc_id = keep_id").select("keep_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    firsts = own.distinct().join(texts.select(F.col("doc_id").alias("keep_id"), F.col("text").alias("keep_text")), "keep_id")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -272,7 +274,7 @@ def copy_pairs(documents: DataFrame) -> DataFrame:
     once.  Other columns are not read.  An empty table gives no rows.  Eager: the
     verified pairs are written; unequal texts of one hash go round again.
     """
-    hashed = text_hashes(documents).withColumn("round", F.lit(0).cast("long"))
+    hashed = materialise(text_hashes(documents).withColumn("round", F.lit(0).cast("long")), "hashes")
     done: DataFrame | None = None
     while True:
         checked = materialise(_verified(documents, hashed), "copies")
