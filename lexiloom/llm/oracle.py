@@ -37,6 +37,30 @@ WITH once AS (
     SELECT a.doc_id, a.token || ' ' || b.token AS term FROM once a JOIN once b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
 )
 SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM pairs GROUP BY term HAVING count(*) > 1""",
+    "p1_bigram_marks": """
+WITH once AS (
+    SELECT doc_id, pos, min(token) AS token FROM tokens
+    WHERE doc_id IS NOT NULL AND pos IS NOT NULL AND token <> '' GROUP BY doc_id, pos
+), pairs AS (
+    SELECT a.doc_id, a.token || ' ' || b.token AS term FROM once a JOIN once b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
+), counted AS (SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM pairs GROUP BY term)
+SELECT *, CASE WHEN records * 100 > 90 * (SELECT count(*) FROM doc_index) THEN 'common'
+    WHEN occurrences < 10 OR records < 5 THEN 'rare' END AS mark FROM counted""",
+    "p1_repeated_ngrams": """
+WITH once AS (
+    SELECT doc_id, pos, min(token) AS token FROM tokens
+    WHERE doc_id IS NOT NULL AND pos IS NOT NULL AND token <> '' GROUP BY doc_id, pos
+), next AS (
+    SELECT doc_id, token AS a, pos AS p, lead(token, 1) OVER w AS b, lead(pos, 1) OVER w AS q, lead(token, 2) OVER w AS c, lead(pos, 2) OVER w AS r,
+        lead(token, 3) OVER w AS d, lead(pos, 3) OVER w AS s, lead(token, 4) OVER w AS e, lead(pos, 4) OVER w AS t
+    FROM once WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), grams AS (
+    SELECT doc_id, 2 AS n, a || ' ' || b AS term FROM next WHERE q = p + 1
+    UNION ALL SELECT doc_id, 3, a || ' ' || b || ' ' || c FROM next WHERE r = p + 2
+    UNION ALL SELECT doc_id, 4, a || ' ' || b || ' ' || c || ' ' || d FROM next WHERE s = p + 3
+    UNION ALL SELECT doc_id, 5, a || ' ' || b || ' ' || c || ' ' || d || ' ' || e FROM next WHERE t = p + 4
+)
+SELECT n, term, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM grams GROUP BY n, term HAVING count(*) > 1""",
     "p2_found": """
 WITH best AS (
     SELECT run_id, topic, term, max(score) AS score FROM term_scores

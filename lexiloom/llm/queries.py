@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.distinctive_terms import residual_idf
+from lexiloom.llm.distinctive_terms import residual_idf, typical_terms
 from lexiloom.llm.equal_looking import consistent_texts, disguised_copies
 from lexiloom.llm.format_copies import collapse_copies, copy_pairs
 from lexiloom.llm.frequent_items import notable_items
@@ -46,6 +46,12 @@ def p1_bigram_marks(spark: SparkSession, d: str) -> DataFrame:
     return mark_terms(pairs, read_table(spark, d, "doc_index")).select("term", "occurrences", "records", "mark")
 
 
+def p1_repeated_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """Every sequence of 2 to 5 neighbouring tokens that occurs more than once, with its occurrences and records."""
+    repeated = ngram_frequency(read_table(spark, d, "tokens"), max_n=5).filter("n > 1 AND occurrences > 1")
+    return repeated.select("n", "term", "occurrences", "records")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Places 1 to 10 of the terms of every topic of every run."""
     rows = read_table(spark, d, "term_scores").filter("topic IS NOT NULL")
@@ -106,8 +112,7 @@ def _distinctive(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Words that are typical of a topic as against the run's other topics."""
-    typical = (F.col("phi") >= 0.002) & (F.col("phi") >= 0.3 * F.col("total"))
-    return _distinctive(spark, d).filter(typical).select("run_id", "topic", "word_id")
+    return typical_terms(_distinctive(spark, d), "phi", 0.002, 0.3).select("run_id", "topic", "word_id")
 
 
 def p7_distinctive_words(spark: SparkSession, d: str) -> DataFrame:
@@ -142,14 +147,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(materialise(mix_sources(read_table(spark, d, "documents"), targets), "mixture"), targets)
 
 
-def _reading(spark: SparkSession, d: str) -> DataFrame:
+def _reading(spark: SparkSession, d: str, english_only: bool = False) -> DataFrame:
     model = train_reading_model(read_table(spark, d, "reading_samples"))
-    return reading_levels(read_table(spark, d, "documents"), model, _languages(spark, d))
+    return reading_levels(read_table(spark, d, "documents"), model, _languages(spark, d), english_only)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """English documents whose sentences are mostly easy, or mostly hard."""
-    return bands(_reading(spark, d))
+    return bands(_reading(spark, d, english_only=True))
 
 
 def p10_reading_level(spark: SparkSession, d: str) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -61,13 +62,16 @@ def sentences(text: str) -> list[str]:
     """
     out: list[str] = []
     for part in _END.split(text):
-        if out and sum(map(str.isalpha, part)) < LEAST_LETTERS:
+        # most parts are seen to be long enough from their first few letters
+        letters = sum(1 for _ in islice((m for m in _LETTERS.finditer(part) if m[0].isalpha()), LEAST_LETTERS))
+        if out and letters < LEAST_LETTERS:
             out[-1] += " " + part
-        elif any(map(str.isalpha, part)):
+        elif letters:
             out.append(part)
     return out
 
 
+_LETTERS = re.compile(r"[^\W\d_]")
 _NOT_WORD = re.compile(r"[^\w]+|_+")
 _DIGITS = re.compile(r"\d+")
 
@@ -77,14 +81,18 @@ def _spelled(text: str) -> str:
     return " " + _DIGITS.sub("0", _NOT_WORD.sub(" ", plain_text(text))).strip() + " "
 
 
-def _hashes(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order: buckets of the contexts and of the contexts with their symbol."""
+def _hashes(codes: np.ndarray, owner: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order: buckets of the contexts and of the contexts with their symbol.
+
+    Spaces stand before a sentence, so what is measured does not depend on its neighbours.
+    """
     out = []
     context = np.zeros(len(codes), np.uint64)
     for m in range(ORDER + 1):
         if m:
-            back = np.zeros(len(codes), np.uint64)
-            back[m:] = codes[:-m] if m < len(codes) else 0
+            back = np.full(len(codes), 32, np.uint64)
+            if m < len(codes):
+                back[m:] = np.where(owner[m:] == owner[:-m], codes[:-m], 32)
             context = (context + back + np.uint64(m)) * np.uint64(0x9E3779B97F4A7C15)
         with_symbol = (context ^ (codes + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
         out.append(((context >> np.uint64(48)).astype(np.int64), (with_symbol >> np.uint64(48)).astype(np.int64)))
@@ -121,7 +129,7 @@ class NgramModels:
             spelled = [_spelled(x) for x in texts]
             size = np.log([len(x.split()) + 1 for x in spelled])
             length[k] = size.mean(), size.std() + 0.1
-            for m, (at, symbol) in enumerate(_hashes(_codes(spelled)[0])):
+            for m, (at, symbol) in enumerate(_hashes(*_codes(spelled))):
                 seen = np.bincount(at, minlength=BUCKETS)
                 kinds = np.bincount(np.unique(at << 16 | symbol) >> 16, minlength=BUCKETS)
                 context[m, seen > 0, k] = 1 / (seen + kinds)[seen > 0]
@@ -129,11 +137,11 @@ class NgramModels:
                 counts[m, :, k] = np.bincount(symbol, minlength=BUCKETS)
         return NgramModels(context, counts, length)
 
-    def surprisal(self, codes: np.ndarray) -> np.ndarray:
+    def surprisal(self, codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Bits of every symbol under every model."""
         n = len(self.length)
         p = np.full((len(codes), n), 1 / 256, np.float32)
-        for m, (at, symbol) in enumerate(_hashes(codes)):
+        for m, (at, symbol) in enumerate(_hashes(codes, owner)):
             known = self.context[m][at]
             p *= known[:, n:]
             p += self.counts[m][symbol] * known[:, :n]
@@ -189,11 +197,14 @@ def _surprisals(models: NgramModels, vocabulary: frozenset[str], texts: list[str
     spelled = [_spelled(x) for x in texts]
     codes, owner = _codes(spelled)
     ends = codes == 32
-    bits = models.surprisal(codes)
+    bits = models.surprisal(codes, owner)
     # a word ends with its space, as every sentence does
     by_word = np.add.reduceat(bits, np.flatnonzero(np.r_[True, ends[:-1]])) if len(codes) else bits
     excess = np.minimum(by_word - by_word.min(axis=1, keepdims=True, initial=np.inf), WORD_LIMIT)
-    weight = np.array([1.0 if w in vocabulary or not w else STRANGER for x in spelled for w in x.split(" ")[:-1]])
+    # a sentence is framed by spaces: its words and the empty one before them
+    words = np.array("".join(spelled).split(" "), dtype=object)[:-1]
+    known = {w: 1.0 if w in vocabulary or not w else STRANGER for w in set(words.tolist())}
+    weight = np.fromiter(map(known.__getitem__, words), float, len(words))
     of = owner[ends]
     length = models.length_bits(np.bincount(of, minlength=len(texts)) - 1)
     length = np.minimum(length - length.min(axis=1, keepdims=True), WORD_LIMIT) * LENGTH_WORDS
@@ -228,7 +239,7 @@ def train_reading_model(samples: DataFrame, max_samples: int = MAX_SAMPLES) -> R
     return ReadingModel(fit(rows), _vocabulary(rows), *knots)
 
 
-def reading_levels(documents: DataFrame, model: ReadingModel, languages: LanguageModel) -> DataFrame:
+def reading_levels(documents: DataFrame, model: ReadingModel, languages: LanguageModel, english_only: bool = False) -> DataFrame:
     """The level of every document.
 
     Returns ``doc_id LONG, level DOUBLE, sentences INT, easy_share DOUBLE, hard_share DOUBLE,
@@ -237,7 +248,8 @@ def reading_levels(documents: DataFrame, model: ReadingModel, languages: Languag
     The header is left out.  ``level`` runs from 0 to 2; ``easy_share`` and
     ``hard_share`` are the sentences nearer to the easy or the hard samples than to
     the plain ones; the surprisal is the easy model's, over the sentences.
-    ``english``: every paragraph with letters is.  Texts without sentences have no
+    ``english``: every paragraph with letters is; with ``english_only`` other documents are neither measured
+    nor returned, and of each only as many paragraphs are told as it takes to find one that is not.  Texts without sentences have no
     row, nor have null texts.  Repeated rows stay repeated, other columns are not
     read.
     """
@@ -253,7 +265,7 @@ def reading_levels(documents: DataFrame, model: ReadingModel, languages: Languag
                 while end < len(docs) and (end == at or held + len(docs[end][1]) <= WINDOW):
                     held += len(docs[end][1])
                     end += 1
-                yield _measured(docs[at:end], reading, known)
+                yield _measured(docs[at:end], reading, known, english_only)
                 at = end
 
     schema = "doc_id long, level double, sentences int, easy_share double, hard_share double, surprisal_mean double, surprisal_p10 double, surprisal_p90 double, english boolean"
@@ -273,21 +285,38 @@ def _in_windows(texts: list[str], measure) -> list[tuple]:
     return out
 
 
-def _measured(docs: list[tuple[int, str]], model: ReadingModel, languages: LanguageModel) -> pd.DataFrame:
+def _foreign(texts: list[str], languages: LanguageModel, until_one: bool) -> np.ndarray:
+    """Whether a text has a paragraph with letters that is not English.
+
+    ``until_one``: texts whose first paragraph is foreign are not told further.
+    """
+    blocks = [paragraphs(text) for text in texts]
+    foreign = np.zeros(len(texts), bool)
+    english = languages.languages.index("en") if "en" in languages.languages else -1
+    for turn in (slice(0, 1), slice(1, None)) if until_one else (slice(None),):
+        pieces = [(k, x) for k, block in enumerate(blocks) if not foreign[k] for x in block[turn]]
+        if pieces:
+            told = _in_windows([x for _, x in pieces], languages.classify)
+            best, n_words = np.concatenate([m[0] for m in told]), np.concatenate([m[2] for m in told])
+            other = (n_words > 0) & (best != english)
+            foreign[[k for (k, _), x in zip(pieces, other.tolist()) if x]] = True
+    return foreign
+
+
+_COLUMNS = ["doc_id", "level", "sentences", "easy_share", "hard_share", "surprisal_mean", "surprisal_p10", "surprisal_p90", "english"]
+
+
+def _measured(docs: list[tuple[int, str]], model: ReadingModel, languages: LanguageModel, english_only: bool) -> pd.DataFrame:
+    foreign = _foreign([text for _, text in docs], languages, english_only)
+    if english_only:
+        docs = [x for x, f in zip(docs, foreign.tolist()) if not f]
+        foreign = foreign[~foreign]
     parts = [sentences(split_header(text)[1]) for _, text in docs]
     flat = [s for x in parts for s in x]
-    blocks = [paragraphs(text) for _, text in docs]
-    pieces = [s for x in blocks for s in x]
-    none = "en" not in languages.languages
     if not flat:
-        return pd.DataFrame({"doc_id": [], "level": [], "sentences": [], "easy_share": [], "hard_share": [], "surprisal_mean": [], "surprisal_p10": [], "surprisal_p90": [], "english": []})
+        return pd.DataFrame({c: [] for c in _COLUMNS})
     measured = _in_windows(flat, model.measure)
     bits, level = (np.concatenate([m[k] for m in measured]) for k in (0, 1))
-    foreign = np.zeros(len(docs), bool)
-    told = _in_windows(pieces, languages.classify)
-    best, n_words = np.concatenate([m[0] for m in told]), np.concatenate([m[2] for m in told])
-    other = (n_words > 0) & (none | (best != (languages.languages.index("en") if not none else -1)))
-    np.logical_or.at(foreign, np.repeat(np.arange(len(docs)), [len(x) for x in blocks])[other], True)
     rows, start = [], 0
     for (doc_id, _), part, f in zip(docs, parts, foreign.tolist()):
         b, g = bits[start : start + len(part)], level[start : start + len(part)]
@@ -295,7 +324,7 @@ def _measured(docs: list[tuple[int, str]], model: ReadingModel, languages: Langu
         if len(part):
             p10, p90 = np.quantile(b, [0.1, 0.9])
             rows.append((doc_id, float(g.mean()), len(part), float((g < 0.5).mean()), float((g > 1.5).mean()), float(b.mean()), float(p10), float(p90), not f))
-    return pd.DataFrame(rows, columns=["doc_id", "level", "sentences", "easy_share", "hard_share", "surprisal_mean", "surprisal_p10", "surprisal_p90", "english"])
+    return pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def bands(levels: DataFrame, share: float = 0.75) -> DataFrame:

@@ -1,8 +1,9 @@
 """Problem 1: frequency of every distinct term or n-gram.
 
 Method: suffix arrays with common-prefix intervals.  Records are brought
-together in blocks; every block sorts the suffixes of its token stream and
-reads the occurrences of a k-gram off the interval of neighbours whose common
+together in blocks; every block sorts the suffixes of its token stream, as far as
+they go, with the whole common prefix of each two neighbours, and
+reads the occurrences of a k-gram, for any k, off the interval of neighbours whose common
 prefix is at least k.  The number of records is the interval's size less the
 adjacencies, in the suffix order of one record, that share k tokens or more.
 Both numbers add up over blocks, so blocks are merged by one aggregation with
@@ -31,46 +32,48 @@ CHUNK = 1 << 16
 FEW_RECORDS = 500_000
 #: Rows of a block, and so of one suffix array.
 BLOCK_ROWS = 1 << 19
-#: Suffixes are sorted by at least so many tokens.
-LEAST_DEPTH = 4
 
 _PARTIAL = pa.schema([("n", pa.int32()), ("term", pa.string()), ("record", pa.int64()), ("occurrences", pa.int64()), ("records", pa.int64())])
 
 
-def suffix_order(codes: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` tokens, by prefix doubling.
+def suffix_order(codes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffixes in order, by prefix doubling, and the ranks of their first 1, 2, 4, ... tokens.
 
     ``end[i]`` is the index after the last token that position i can be
-    continued to.  A suffix that ends early sorts before its continuations.
+    continued to.  A suffix that ends early sorts before its continuations.  Doubling ends
+    when all suffixes differ or none goes on.
     """
     size = len(codes)
     here = np.arange(size)
     order = np.argsort(codes, kind="stable")
     rank = codes.astype(np.int64)
-    done = 1
-    while done < depth:
+    ranks = [rank.astype(np.int32)]
+    done, longest = 1, int((end - here).max(initial=0))
+    while done < longest:
         follow = np.zeros(size, np.int64)
         reach = here + done
         inside = reach < end
         follow[inside] = rank[reach[inside]] + 1
         key = rank * (int(rank.max(initial=0)) + 2) + follow
         order = np.argsort(key, kind="stable")
+        ordered = key[order]
         fresh = np.empty(size, np.int64)
-        fresh[order] = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]]) if size else 0
+        fresh[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
         rank, done = fresh, done * 2
-    return order
-
-
-def common_prefix(codes: np.ndarray, end: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of suffix pairs, at most ``most``."""
-    length = np.zeros(len(left), np.int32)
-    alive = np.arange(len(left))
-    for k in range(most):
-        a, b = left[alive] + k, right[alive] + k
-        inside = (a < end[left[alive]]) & (b < end[right[alive]])
-        alive, a, b = alive[inside], a[inside], b[inside]
-        alive = alive[codes[a] == codes[b]]
-        length[alive] += 1
+        ranks.append(rank.astype(np.int32))
+        if rank[order[-1]] == size - 1:
+            break
+    return order, ranks
+
+
+def common_prefix(ranks: list[np.ndarray], end: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Length of the whole common prefix of suffix pairs, from the longest power of two down."""
+    length = np.zeros(len(left), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        a, b = left + length, right + length
+        at = np.flatnonzero((a + (1 << k) <= end[left]) & (b + (1 << k) <= end[right]))
+        at = at[ranks[k][a[at]] == ranks[k][b[at]]]
+        length[at] += 1 << k
     return length
 
 
@@ -85,12 +88,12 @@ def block_intervals(codes: np.ndarray, record: np.ndarray, position: np.ndarray,
     here = np.arange(size)
     broken = np.r_[(record[1:] != record[:-1]) | (position[1:] != position[:-1] + 1), True]
     end = (np.flatnonzero(broken) + 1)[np.cumsum(np.r_[False, broken[:-1]])]
-    order = suffix_order(codes, end, max(LEAST_DEPTH, max_n))
-    lcp = np.r_[0, common_prefix(codes, end, order[:-1], order[1:], max_n)]
+    order, ranks = suffix_order(codes, end)
+    lcp = np.r_[0, common_prefix(ranks, end, order[:-1], order[1:])]
     # the same suffixes, record by record, each record's in suffix order
     within = order[np.argsort(record[order], kind="stable")]
     twin = record[within[1:]] == record[within[:-1]]
-    own = common_prefix(codes, end, within[:-1][twin], within[1:][twin], max_n)
+    own = common_prefix(ranks, end, within[:-1][twin], within[1:][twin])
     later = within[1:][twin]
     for n in range(1, max_n + 1):
         long_enough = end[order] - order >= n

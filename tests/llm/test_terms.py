@@ -1,8 +1,13 @@
 """Problems 1, 2, 4 and 7 against brute force."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +54,20 @@ def test_ngrams(spark, monkeypatch, chunk, max_n):
     assert got == brute_ngrams(rows, max_n)
 
 
+@pytest.mark.parametrize("size", [1, 2, 40, 300])
+def test_suffix_order(size):
+    rng = np.random.default_rng(size)
+    codes = np.tile(rng.integers(0, 3, -(-size // 3)), 3)[:size]  # long repeats
+    ends = np.unique(np.r_[rng.integers(1, size + 1, 3), size])
+    end = ends[np.searchsorted(ends, np.arange(size), side="right")]
+    suffix = lambda i: tuple(codes[i : end[i]].tolist())
+    order, ranks = term_frequency.suffix_order(codes, end)
+    assert [suffix(i) for i in order] == sorted(map(suffix, range(size)))
+    pairs = rng.integers(0, size, (2, 200))
+    shared = [next((k for k, (x, y) in enumerate(zip(suffix(i), suffix(j))) if x != y), min(len(suffix(i)), len(suffix(j)))) for i, j in pairs.T]
+    assert term_frequency.common_prefix(ranks, end, *pairs).tolist() == shared
+
+
 def test_all_bigrams_are_marked(spark, tmp_path):
     from lexiloom.llm.queries import queries
 
@@ -113,11 +132,53 @@ def test_top_items_skip(spark, monkeypatch):
     seen = {}
     list(top_items.select_top(files, ["g"], "item", "score", 10, seen))
     assert seen["skipped"] >= 15
+    # a row group of several groups is left out if all of them are full; one that holds a group not met before is not
+    few = frame.filter("g <= 4").withColumn("score", F.when(F.col("g") == 1, F.col("score")).otherwise(F.col("score") - 1e6))
+    files = sorted(spark.read.parquet(top_items.cluster_by_group(few.coalesce(1), ["g"], "item", "score")).inputFiles())
+    got = pd.concat(top_items.select_top(files, ["g"], "item", "score", 5))
+    assert got.groupby("g").size().to_dict() == {g: 5 for g in (1, 2, 3, 4)}
     tied = frame.withColumn("score", F.lit(1.0))
     got = [r["item"] for r in top_items.top_items(tied, ["g"], "item", "score", 3).filter("g = 1").orderBy("place").collect()]
     assert got == sorted((str(x) for x in range(0, 60_000, 3)), reverse=True)[:3]
 
 
+def test_mixed_row_groups(tmp_path):
+    # row groups of two groups each, both of which are full after the first
+    rows = [(g, f"i{k}", float(100 - k)) for k in range(12) for g in (1, None)]
+    table = pa.table({"g": pa.array([r[0] for r in rows], pa.int64()), "item": [r[1] for r in rows], "score": [r[2] for r in rows]})
+    pq.write_table(table, tmp_path / "a.parquet", row_group_size=6)
+    seen = {}
+    got = pd.concat(top_items.select_top([f"file://{tmp_path}/a.parquet"], ["g"], "item", "score", 3, seen))
+    assert seen == {"read": 1, "skipped": 3} and len(got) == 6 and got["score"].min() == 98
+    assert top_items._later((1, 2), (1, None)) and not top_items._later((None, 9), (1, None)) and not top_items._later((1, 2), (1, 2))
+
+
+def test_row_groups_are_skipped_in_the_given_table(spark):
+    path = "/root/testdata/sf0.1/term_scores.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    rows = spark.read.parquet(path).filter("topic IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)").select("run_id", "topic", "term", "score")
+    files = sorted(spark.read.parquet(top_items.cluster_by_group(rows, ["run_id", "topic"], "term", "score")).inputFiles())
+    seen = {}
+    list(top_items.select_top(files, ["run_id", "topic"], "term", "score", 10, seen))
+    assert seen["skipped"] > 0
+
+
+def test_typical_terms_lose_nothing(spark):
+    rng = random.Random(5)
+    rows = [(run, topic, word, rng.choice([0.0001, 0.0019, 0.002, 0.003, 0.02, 0.3]) * rng.choice([1, 1, 0.999, 1.3])) for run in range(4) for word in range(300) for topic in rng.sample(range(20), rng.randint(1, 20))]
+    frame = spark.createDataFrame(rows, "run long, topic int, word int, phi double")
+    sizes = spark.createDataFrame([(r, 20) for r in range(3)], "run long, n_records int")
+    scored = distinctive_terms.residual_idf(frame, "run", "topic", "word", "phi", sizes)
+    found = distinctive_terms.typical_terms(scored, "phi", 0.002, 0.3)
+    total = defaultdict(float)
+    for run, topic, word, phi in rows:
+        total[run, word] += phi
+    expected = sorted((run, topic, word) for run, topic, word, phi in rows if phi >= 0.002 and phi >= 0.3 * total[run, word])
+    assert sorted((r["run"], r["topic"], r["word"]) for r in found.collect()) == expected
+    assert "ridf" in found._jdf.queryExecution().optimizedPlan().toString() or "log2" in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_frequent(spark):
     rng = random.Random(4)
     values = [rng.choice([1, 1, 1, 2, None, rng.randint(3, 5000)]) for _ in range(6000)]

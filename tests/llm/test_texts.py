@@ -247,6 +247,9 @@ def test_reading(spark, languages):
     got = {r["doc_id"]: r["band"] for r in reading_level.bands(levels).collect()}
     right = sum(got.get(k) == (None if b == "plain" else b) for k, b in enumerate(names))
     assert right >= 0.95 * len(names) and got[63] == "easy" and not {60, 61} & {*got}
+    # what is measured of a document does not depend on those beside it
+    alone = {r["doc_id"]: r for n in (1, 7) for r in reading_level.reading_levels(frame.repartition(n), model, english, english_only=n == 7).collect()}
+    assert alone == {r["doc_id"]: r for r in levels.collect()}
     foreign = language_id.LanguageModel(("de",), np.zeros((language_id.BUCKETS, 1)))
     assert reading_level.bands(reading_level.reading_levels(frame, model, foreign)).count() == 0
     assert reading_level.reading_levels(frame.limit(0), model, english).count() == 0
