@@ -3,11 +3,12 @@
 Method: statistics-guided skipping.  The rows are written once, clustered by
 group and sorted by descending score, in small row groups.  A task that selects
 from such files reads their row groups in descending maximum score and leaves
-out those whose maximum lies strictly below the N-th score that their group has
-reached; only the statistics of the footers are read for these.
+out those whose maximum lies strictly below the N-th score that every one of their groups has
+reached.  The footer tells the group of a row group that has one only; the groups of others are read from
+their key columns, and only if the footer's maximum makes it worth while.
 
 Skew: range partitioning by group and score cuts a hot group into many files, by
-score.  Every task passes the thresholds on from file to file; what it selects,
+score.  A task goes through a fixed number of neighbouring files and passes the thresholds on from file to file; what it selects,
 at most N items per group and task, is merged by a window.
 """
 
@@ -25,7 +26,11 @@ from pyspark.sql import functions as F
 from lexiloom.storage import new_path
 
 #: Rows of a row group of the clustered table.
-ROW_GROUP_ROWS = 20_000
+ROW_GROUP_ROWS = 4_000
+#: Files of the clustered table that one task goes through, passing thresholds on.
+TASK_FILES = 4
+
+_NULLABLE = {pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}.get
 
 
 def cluster_by_group(rows: DataFrame, keys: list[str], item: str, score: str) -> str:
@@ -50,6 +55,30 @@ def plan_row_groups(meta: pq.FileMetaData, keys: list[str], score: str) -> list[
     return sorted(plan, key=lambda x: (-x[0], x[2]))
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a file that Spark names; Hadoop's names of an object store are those of the store itself."""
+    scheme, rest = uri.split(":", 1)
+    return pafs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
+
+
+def _name(values) -> tuple:
+    return tuple(None if pd.isna(x) else x.item() if hasattr(x, "item") else x for x in values)
+
+
+def _later(one: tuple, other: tuple) -> bool:
+    """Whether a group comes after another; nulls come first."""
+    for x, y in zip(one, other):
+        if x != y:
+            return y is None or x is not None and x > y
+    return False
+
+
+def _groups(table: pq.ParquetFile, g: int, keys: list[str]) -> list[tuple]:
+    """The groups of a row group, from its key columns alone."""
+    rows = table.read_row_group(g, columns=keys).to_pandas(types_mapper=_NULLABLE)
+    return [_name(x) for x in rows.drop_duplicates().itertuples(index=False)]
+
+
 def _cut(rows: pd.DataFrame, keys: list[str], item: str, score: str, n: int) -> pd.DataFrame:
     """The best ``n`` items of every group, groups in order, each item once."""
     rows = rows.sort_values([*keys, score, item], ascending=[True] * len(keys) + [False, False], kind="stable", na_position="first")
@@ -57,36 +86,44 @@ def _cut(rows: pd.DataFrame, keys: list[str], item: str, score: str, n: int) ->
 
 
 def select_top(files: list[str], keys: list[str], item: str, score: str, n: int, seen: dict | None = None) -> Iterator[pd.DataFrame]:
-    """The best ``n`` items of every group over these files, in frames.
+    """The best ``n`` items of every group over these files, which come in the order of their groups, in frames.
 
     Groups are clustered, so all but the first and the last of a row group are
     complete in it; only the best rows of those two are kept, each with the score that
-    its n-th item has reached.  ``seen``, if given, counts the row groups read and skipped.
+    its n-th item has reached.  After a file only its last group can come again, so
+    no more than the groups that cross row groups of one file are held.  ``seen``, if given, counts the row groups read and skipped.
     """
     seen = {} if seen is None else seen
     best: dict[tuple, pd.DataFrame] = {}
     reached: dict[tuple, float] = {}
     for uri in files:
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = file_system(uri)
+        last = None
         with fs.open_input_file(path) as source:
             table = pq.ParquetFile(source)
             for top, group, g in plan_row_groups(table.metadata, keys, score):
-                if group is not None and top < reached.get(group, float("-inf")):
+                held = [group] if group is not None else _groups(table, g, keys) if reached and top < max(reached.values()) else [None]
+                if all(top < reached.get(k, float("-inf")) for k in held):
                     seen["skipped"] = seen.get("skipped", 0) + 1
                     continue
                 seen["read"] = seen.get("read", 0) + 1
-                rows = table.read_row_group(g, columns=[*keys, item, score]).to_pandas(types_mapper={pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}.get)
+                rows = table.read_row_group(g, columns=[*keys, item, score]).to_pandas(types_mapper=_NULLABLE)
                 rows = _cut(rows, keys, item, score, n)
                 number = rows.groupby(keys, sort=False, dropna=False).ngroup()
                 yield rows[(number > 0) & (number < number.max())]
                 for k in {0, int(number.max())}:
                     part = rows[number == k]
-                    name = tuple(None if pd.isna(x) else x.item() if hasattr(x, "item") else x for x in part.iloc[0][keys])
+                    name = _name(part.iloc[0][keys])
+                    if k == number.max() and (last is None or _later(name, last)):
+                        last = name
                     if name in best:
                         part = _cut(pd.concat([best[name], part]), keys, item, score, n)
                     best[name] = part
                     if len(part) == n:
                         reached[name] = float(part[score].iloc[-1])
+        for name in [k for k in best if k != last]:
+            yield best.pop(name)
+            reached.pop(name, None)
     yield from best.values()
 
 
@@ -105,9 +142,8 @@ def top_items(rows: DataFrame, keys: list[str], item: str, score: str, n: int) -
     valid = valid.withColumn(score, F.col(score) + F.lit(0.0))  # one zero only
     clustered = spark.read.schema(valid.schema).parquet(cluster_by_group(valid, keys, item, score))
     files = sorted(clustered.inputFiles())
-    slots = max(1, min(len(files), 2 * spark.sparkContext.defaultParallelism))
-    share = -(-len(files) // slots) if files else 1
-    runs = [(files[i : i + share],) for i in range(0, len(files), share)]
+    # a task for every few files, however many cores there are: what it holds does not grow with the data
+    runs = [(files[i : i + TASK_FILES],) for i in range(0, len(files), TASK_FILES)]
     tasks = spark.createDataFrame(runs or [([],)], "files array<string>").repartition(max(1, len(runs)))
 
     def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
