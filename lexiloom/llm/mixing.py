@@ -13,18 +13,21 @@ so far, so no rates have to be kept.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.token_sizes import VOCABULARY, load_encoding
 from lexiloom.storage import materialise
 
+log = logging.getLogger(__name__)
+
 #: At most so many labelled rows are fitted, chosen by hash.
 MAX_SAMPLES = 5_000
 #: Added to every token count of the classifier.
@@ -122,7 +125,8 @@ def fit_rates(profile: DataFrame, goals: np.ndarray) -> list[np.ndarray]:
     """Projected-gradient steps that bring the expected tokens of each source to its goal.
 
     ``profile``: ``member, most, tokens``.  The step is scaled by each source's tokens, so
-    sources of any size converge alike.
+    sources of any size converge alike.  Rates that still move after ``MAX_PASSES`` passes are
+    reported, with what is left to the goals, as a warning.
     """
 
     def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -146,16 +150,52 @@ def fit_rates(profile: DataFrame, goals: np.ndarray) -> list[np.ndarray]:
         if steps and np.allclose(step, steps[-1], atol=TOLERANCE) or np.abs(step).max(initial=0) < TOLERANCE:
             break
         steps.append(step)
+    else:
+        log.warning("rates still move after %d passes; tokens left to the goals: %s", MAX_PASSES, np.round(goals - expected, 1).tolist())
     return steps
 
 
+def reachable_total(profile: DataFrame, shares: np.ndarray) -> int:
+    """The largest total at which every source that has documents reaches its share within the repeats permitted."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        room = np.zeros(len(shares))
+        for batch in batches:
+            if len(batch):
+                room += (batch["most"].to_numpy() * batch["tokens"].to_numpy(float)) @ np.stack(batch["member"].to_numpy())
+        yield pd.DataFrame({"k": np.arange(len(shares)), "room": room})
+
+    sums = profile.mapInPandas(run, "k long, room double").groupBy("k").agg(F.sum("room").alias("room")).orderBy("k").collect()
+    room = np.array([r["room"] for r in sums]) if sums else np.zeros(len(shares))
+    wanted = (room >= 1) & (shares > 0)
+    return int((room[wanted] / shares[wanted]).min(initial=np.inf)) if wanted.any() else 0
+
+
+def rounded_copies(rated: DataFrame) -> DataFrame:
+    """Adds ``copies``: the rate, rounded so that the running sums over documents of a source, in order of their size, are kept.
+
+    Neighbours are of like size, so a source's tokens come out as expected up to about one
+    document.  Documents are put in order by ranges; each range's sum is carried on, so no source
+    meets in one task.  ``copies`` is never above the rate rounded up.
+    """
+    order = [F.col(c).asc_nulls_first() for c in ("source", "size", "doc_id", "rate")]
+    placed = rated.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    written = materialise(placed, "rated").withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = written.groupBy("_part").agg(F.sum("rate").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    running = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = written.join(parts.select("_part", "_before"), "_part").withColumn("_upto", F.col("_before") + F.sum("rate").over(running))
+    whole = F.floor(F.col("_upto") + 0.5) - F.floor(F.col("_upto") - F.col("rate") + 0.5)
+    return upto.withColumn("copies", F.greatest(F.lit(0), F.least(whole, F.ceil("rate"))).cast("int")).drop("_at", "_part", "_before", "_upto")
+
+
 def mix_sources(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None = None, vocabulary: str = VOCABULARY, model: SourceModel | None = None) -> DataFrame:
     """How often each document is used: ``doc_id, source, size, rate, copies``.
 
     ``mix_targets`` (``source, target_share, max_repeats``) is a table of a few rows.
-    ``total_tokens`` is the size aimed at, that of all documents if it is not given.
-    ``copies`` is ``rate`` rounded by a hash of ``doc_id``, so that it is right on average, and never
-    above ``max_repeats``.  Documents without tokens or ``doc_id`` and targets with a null have no
+    ``total_tokens`` is the size aimed at; if it is not given, the largest at which every source that
+    has documents reaches its share (:func:`reachable_total`).  ``copies`` is ``rate`` rounded within the source
+    (:func:`rounded_copies`), never above ``max_repeats``.  Documents without tokens or ``doc_id`` and targets with a null have no
     part; a source without target is not used; rows that repeat a document count
     as they stand.  Eager: the memberships are written, every pass is a job.
     """
@@ -166,11 +206,10 @@ def mix_sources(documents: DataFrame, mix_targets: DataFrame, total_tokens: int
         return spark.createDataFrame([], "doc_id long, source string, size long, rate double, copies int")
     model = model or train_source_model(documents, [t[0] for t in targets], vocabulary)
     member = materialise(memberships(documents, targets, model, vocabulary), "members")
-    if total_tokens is None:
-        total_tokens = member.agg(F.sum("size").alias("n")).first()["n"] or 0
-    goals = np.array([t[1] for t in targets]) * total_tokens
     # documents of one membership share their rate
     profile = materialise(member.groupBy("member", "most").agg(F.sum("size").alias("tokens")), "profile")
+    shares = np.array([t[1] for t in targets])
+    goals = shares * (reachable_total(profile, shares) if total_tokens is None else total_tokens)
     steps = fit_rates(profile, goals)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,8 +218,7 @@ def mix_sources(documents: DataFrame, mix_targets: DataFrame, total_tokens: int
                 yield batch.drop(columns=["member", "most"]).assign(rate=_rates(np.stack(batch["member"].to_numpy()), batch["most"].to_numpy(), steps))
 
     rated = member.mapInPandas(run, "doc_id long, source string, size long, rate double")
-    uniform = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    return rated.withColumn("copies", (F.floor("rate") + F.when(uniform < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+    return rounded_copies(rated)
 
 
 def mix_report(mixed: DataFrame, mix_targets: DataFrame) -> DataFrame:

@@ -87,7 +87,8 @@ def sources(spark, n=3000):
 def test_mix(spark):
     frame = sources(spark)
     targets = spark.createDataFrame([*TARGETS, (None, 0.1, 1)], "source string, target_share double, max_repeats int")
-    mixed = mixing.mix_sources(frame, targets)
+    size = mixing.mix_sources(frame, targets).agg(F.sum("size")).first()[0]
+    mixed = mixing.mix_sources(frame, targets, total_tokens=size)
     rows = mixed.collect()
     most = {s: m for s, _, m in TARGETS} | {"": 0}
     assert all(0 <= r["copies"] <= most[r["source"]] and 0 <= r["rate"] <= most[r["source"]] for r in rows)
@@ -99,12 +100,27 @@ def test_mix(spark):
     assert report["tiny"]["expected_tokens"] == pytest.approx(3 * report["tiny"]["available_tokens"])
     assert report["none"]["share"] == 0 and sum(r["share"] for r in report.values()) == pytest.approx(1)
     assert abs(report["big"]["mixed_tokens"] - report["big"]["expected_tokens"]) < 0.05 * total
+    # of its own accord the mix is as large as every source with documents permits
+    own = {r["source"]: r for r in mixing.mix_report(mixing.mix_sources(frame, targets), targets.filter("source IS NOT NULL")).collect()}
+    assert {s: r["share"] for s, r in own.items()} == pytest.approx({"big": 0.5, "small": 0.3, "tiny": 0.2, "none": 0.0}, abs=0.005)
+    assert own["tiny"]["mixed_tokens"] == pytest.approx(3 * own["tiny"]["available_tokens"], rel=0.01)
     # the labels' words tell the documents without a label apart
     half = mixing.mix_sources(frame, targets, total_tokens=total // 20)
     shares = {r["source"]: r["expected_tokens"] / (total // 20) for r in mixing.mix_report(half, targets.filter("source IS NOT NULL")).collect()}
     assert shares == pytest.approx({"big": 0.5, "small": 0.3, "tiny": 0.2, "none": 0.0}, abs=0.02)
 
 
+def test_rounded_copies(spark):
+    rng = random.Random(3)
+    rows = [(k, "ab"[k % 2], rng.randint(1, 500), rng.choice([0.0, 0.25, 1.0, 1.6, 3.0])) for k in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, size long, rate double")
+    got = mixing.rounded_copies(frame.repartition(3)).collect()
+    assert len(got) == 4000 and all(int(r["rate"]) <= r["copies"] <= -(-r["rate"] // 1) for r in got)
+    for s in "ab":
+        expected = sum(size * rate for _, source, size, rate in rows if source == s)
+        assert abs(sum(r["size"] * r["copies"] for r in got if r["source"] == s) - expected) < 1000
+
+
 def test_no_documents(spark):
     frame = sources(spark).limit(0)
     targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
