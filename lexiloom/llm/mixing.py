@@ -20,7 +20,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.token_sizes import VOCABULARY, load_encoding
@@ -37,6 +37,8 @@ EVIDENCE = 40.0
 #: Passes of the projected gradient at most, and the change of a rate at which it ends.
 MAX_PASSES = 30
 TOLERANCE = 1e-6
+#: Documents of a source that are rounded together, on average.
+BUCKET_ROWS = 1 << 20
 #: The class of sources without a target.
 OTHER = ""
 
@@ -172,21 +174,32 @@ def reachable_total(profile: DataFrame, shares: np.ndarray) -> int:
 
 
 def rounded_copies(rated: DataFrame) -> DataFrame:
-    """Adds ``copies``: the rate, rounded so that the running sums over documents of a source, in order of their size, are kept.
+    """Adds ``copies``: the rate rounded down or up so that a source's tokens come out as its rates say.
 
-    Neighbours are of like size, so a source's tokens come out as expected up to about one
-    document.  Documents are put in order by ranges; each range's sum is carried on, so no source
-    meets in one task.  ``copies`` is never above the rate rounded up.
+    The documents of a source are gone through from the largest to the smallest, and each is rounded so
+    that the tokens owed so far come nearest to nothing; what is left in the end is about
+    the size of the smallest.  A source is cut into buckets of about ``BUCKET_ROWS`` documents by hash, so
+    none meets in one task.
     """
-    order = [F.col(c).asc_nulls_first() for c in ("source", "size", "doc_id", "rate")]
-    placed = rated.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    written = materialise(placed, "rated").withColumn("_part", F.shiftright("_at", 33))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = written.groupBy("_part").agg(F.sum("rate").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
-    running = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = written.join(parts.select("_part", "_before"), "_part").withColumn("_upto", F.col("_before") + F.sum("rate").over(running))
-    whole = F.floor(F.col("_upto") + 0.5) - F.floor(F.col("_upto") - F.col("rate") + 0.5)
-    return upto.withColumn("copies", F.greatest(F.lit(0), F.least(whole, F.ceil("rate"))).cast("int")).drop("_at", "_part", "_before", "_upto")
+    n_buckets = max(1, -(-rated.count() // BUCKET_ROWS))
+    placed = rated.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)).cast("int"))
+    ordered = placed.repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.col("size").desc(), "doc_id", "rate")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, owed = None, 0.0
+        for batch in batches:
+            copies = []
+            for source, bucket, size, rate in zip(batch["source"], batch["bucket"], batch["size"].tolist(), batch["rate"].tolist()):
+                if (source, bucket) != group:
+                    group, owed = (source, bucket), 0.0
+                whole = int(rate)
+                owed += (rate - whole) * size
+                more = rate > whole and owed >= size / 2
+                owed -= size if more else 0
+                copies.append(whole + more)
+            yield batch.drop(columns="bucket").assign(copies=np.array(copies, np.int32))
+
+    return ordered.mapInPandas(run, "doc_id long, source string, size long, rate double, copies int")
 
 
 def mix_sources(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None = None, vocabulary: str = VOCABULARY, model: SourceModel | None = None) -> DataFrame:
@@ -218,7 +231,7 @@ def mix_sources(documents: DataFrame, mix_targets: DataFrame, total_tokens: int
                 yield batch.drop(columns=["member", "most"]).assign(rate=_rates(np.stack(batch["member"].to_numpy()), batch["most"].to_numpy(), steps))
 
     rated = member.mapInPandas(run, "doc_id long, source string, size long, rate double")
-    return rounded_copies(rated)
+    return rounded_copies(materialise(rated, "rated"))
 
 
 def mix_report(mixed: DataFrame, mix_targets: DataFrame) -> DataFrame:

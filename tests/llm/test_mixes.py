@@ -118,7 +118,7 @@ def test_rounded_copies(spark):
     assert len(got) == 4000 and all(int(r["rate"]) <= r["copies"] <= -(-r["rate"] // 1) for r in got)
     for s in "ab":
         expected = sum(size * rate for _, source, size, rate in rows if source == s)
-        assert abs(sum(r["size"] * r["copies"] for r in got if r["source"] == s) - expected) < 1000
+        assert abs(sum(r["size"] * r["copies"] for r in got if r["source"] == s) - expected) < 100
 
 
 def test_no_documents(spark):
