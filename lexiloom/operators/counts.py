@@ -55,7 +55,12 @@ def count_vectors(counts: DataFrame, key: str, n_topics: int) -> DataFrame:
 
 def topic_totals(corpus: DataFrame, n_topics: int) -> Column:
     """The tokens of every topic as one array, a scalar."""
-    return topic_counts(corpus).agg(_dense(n_topics).alias("totals")).scalar()
+    return totals_of(topic_counts(corpus), n_topics)
+
+
+def totals_of(counts: DataFrame, n_topics: int) -> Column:
+    """As :func:`topic_totals`, of counts by topic and whatever else."""
+    return counts.groupBy("topic").agg(F.sum("n").alias("n")).agg(_dense(n_topics).alias("totals")).scalar()
 
 
 def all_counts(corpus: DataFrame) -> DataFrame:

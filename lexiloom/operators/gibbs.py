@@ -12,15 +12,19 @@ are partitioned, and a vocabulary of any size is swept alike.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.binding import let
-from lexiloom.functions.rng import uniform, uniform_int, uniforms
+from lexiloom.functions.rng import uniform, uniform_int, uniforms_of
 from lexiloom.operators.counts import count_vectors, document_topic_counts, topic_totals, word_topic_counts
 from lexiloom.operators.joins import split_join
 from lexiloom.storage import spread
@@ -119,62 +123,134 @@ def state_counts(state: DataFrame) -> DataFrame:
     return rows.select("block", "word_id", F.col("x.first").alias("topic"), F.col("x.second").alias("n"))
 
 
+def state_word_counts(state: DataFrame) -> DataFrame:
+    """``word_id, topic, n`` over all blocks."""
+    return state_counts(state).groupBy("word_id", "topic").agg(F.sum("n").alias("n"))
+
+
+def state_topics(state: DataFrame) -> DataFrame:
+    """``doc_id, topic`` of every token."""
+    return state_docs(state).select("doc_id", F.explode("second").alias("topic"))
+
+
 def sweep_block(docs: pd.DataFrame, words: pd.DataFrame, totals: Sequence[float], alpha: Sequence[float], beta: float, n_words: int, seed: int, sweep: int) -> list[np.ndarray]:
     """New topics of the documents of a block, one array for each row of ``docs``.
 
     ``docs``: ``doc_id, chunk, first`` (words) ``, second`` (topics) ``, elsewhere`` (the document's counts in other chunks, or null);
     ``words``: ``word_id, first`` (topics) ``, second`` (their tokens among all documents); ``totals``: all tokens of each topic.
+    """
+    flat = lambda arrays: np.concatenate([np.asarray(x, np.int64) for x in arrays])
+    length = np.array([len(x) for x in docs["first"]])
+    elsewhere = {i: np.asarray(x) for i, x in enumerate(docs["elsewhere"]) if x is not None}
+    held = words["word_id"].to_numpy(), np.array([len(x) for x in words["first"]]), flat(words["first"]), flat(words["second"])
+    topics = sweep_tokens(docs["doc_id"].to_numpy(), docs["chunk"].to_numpy(), length, flat(docs["first"]), flat(docs["second"]), elsewhere, *held, totals, alpha, beta, n_words, seed, sweep)
+    return np.split(topics, np.cumsum(length)[:-1])
+
+
+#: A position is drawn token by token, not in numpy, from where this many numbers or fewer make up its weights.
+FEW_WEIGHTS = 96
+
+
+def sweep_tokens(doc_id: np.ndarray, chunk: np.ndarray, length: np.ndarray, words: np.ndarray, topics: np.ndarray, elsewhere: dict[int, np.ndarray], word_id: np.ndarray, held: np.ndarray, of_topics: np.ndarray, counts: np.ndarray, totals: Sequence[float], alpha: Sequence[float], beta: float, n_words: int, seed: int, sweep: int) -> np.ndarray:
+    """New topics of the tokens of a block, document by document.
+
+    A document has ``doc_id, chunk, length`` and so many of ``words`` and ``topics``; ``elsewhere`` has, by its place, its counts in other
+    chunks.  A word has ``word_id`` and ``held``, so many of ``of_topics`` and their ``counts``.
 
     The i-th tokens of all documents are drawn together: each is taken out of the
     counts, which include all draws of the positions before, and drawn with the number that
     (seed, sweep, document, chunk, place in it) gives; then all are put back.
     """
     n_topics = len(alpha)
-    length = np.array([len(x) for x in docs["first"]])
     # longest first, so that the documents that reach a position come first
-    order = np.lexsort((docs["chunk"].to_numpy(), docs["doc_id"].to_numpy(), -length))
-    length = length[order]
-    starts = np.r_[0, np.cumsum(length)[:-1]]
-    flat = lambda column: np.concatenate([np.asarray(docs[column].iloc[k], np.int64) for k in order])
-    vocabulary = np.sort(words["word_id"].to_numpy())
-    word, topic = np.searchsorted(vocabulary, flat("first")), flat("second")
+    order = np.lexsort((chunk, doc_id, -length))
+    rank = np.argsort(order)
+    owner = np.repeat(rank, length)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(length) - length, length)
+    vocabulary = np.sort(word_id)
     of_word = np.zeros((len(vocabulary), n_topics))
-    row = np.repeat(np.searchsorted(vocabulary, words["word_id"].to_numpy()), [len(x) for x in words["first"]])
-    of_word[row, np.concatenate(words["first"].to_list())] = np.concatenate(words["second"].to_list())
+    of_word[np.repeat(np.searchsorted(vocabulary, word_id), held), of_topics] = counts
     of_word += beta
-    owner = np.repeat(np.arange(len(order)), length)
-    of_doc = np.bincount(owner * n_topics + topic, minlength=len(order) * n_topics).reshape(-1, n_topics) + np.asarray(alpha, float)
-    for place, k in enumerate(order):
-        if docs["elsewhere"].iloc[k] is not None:
-            of_doc[place] += np.asarray(docs["elsewhere"].iloc[k])
+    of_doc = np.bincount(owner * n_topics + topics, minlength=len(order) * n_topics).reshape(-1, n_topics) + np.asarray(alpha, float)
+    for k, more in elsewhere.items():
+        of_doc[rank[k]] += more
     of_topic = np.asarray(totals, float) + beta * n_words
-    u = np.concatenate([uniforms(f"{seed}:{sweep}:{d}:{c}", n) for d, c, n in zip(docs["doc_id"].to_numpy()[order], docs["chunk"].to_numpy()[order], length)])
-    reach = len(length) - np.searchsorted(length[::-1], np.arange(length[0]), side="right")
-    rows = np.arange(len(order))
-    for i, active in enumerate(reach.tolist()):
-        at, r = starts[:active] + i, rows[:active]
-        w, k = word[at], topic[at]
-        p = of_doc[:active] * of_word[w] / of_topic
+    u = uniforms_of([f"{seed}:{sweep}:{d}:{c}" for d, c in zip(doc_id.tolist(), chunk.tolist())], length)
+    # position by position, and in a position document by document
+    at = np.lexsort((owner, place))
+    word, topic, u = np.searchsorted(vocabulary, words[at]), topics[at].astype(np.int64), u[at]
+    reach = np.bincount(place)
+    # with a positive beta no count is zero, so that nothing is divided by it
+    few = int(np.count_nonzero(reach * (n_topics + 4) > FEW_WEIGHTS)) if beta > 0 else len(reach)
+    rows, start = np.arange(len(order)), 0
+    for active in reach[:few].tolist():
+        end = start + active
+        w, k, r = word[start:end], topic[start:end], rows[:active]
+        p = of_doc[:active] * of_word[w]
+        p /= of_topic
         p[r, k] = (of_doc[r, k] - 1) * (of_word[w, k] - 1) / (of_topic[k] - 1)
-        upto = np.cumsum(p, axis=1)
-        new = np.minimum((upto < (u[at] * upto[:, -1])[:, None]).sum(axis=1), n_topics - 1)
+        if n_topics < active:
+            for t in range(1, n_topics):
+                p[:, t] += p[:, t - 1]
+            goal, new = u[start:end] * p[:, -1], np.zeros(active, np.int64)
+            for t in range(n_topics - 1):
+                new += p[:, t] < goal
+        else:
+            np.cumsum(p, axis=1, out=p)
+            new = np.minimum((p < (u[start:end] * p[:, -1])[:, None]).sum(axis=1), n_topics - 1)
         of_doc[r, k] -= 1
         of_doc[r, new] += 1
         np.add.at(of_word, (w, k), -1)
         np.add.at(of_word, (w, new), 1)
         of_topic += np.bincount(new, minlength=n_topics) - np.bincount(k, minlength=n_topics)
-        topic[at] = new
-    out: list = [None] * len(order)
-    for place, k in enumerate(order):
-        out[k] = topic[starts[place] : starts[place] + length[place]].astype(np.int32)
+        topic[start:end] = new
+        start = end
+    if start < len(word):
+        kinds, rest = np.unique(word[start:], return_inverse=True)
+        topic[start:] = _sweep_few(reach[few:].tolist(), rest.tolist(), topic[start:].tolist(), u[start:].tolist(), of_doc[: reach[few]].tolist(), of_word[kinds].tolist(), of_topic.tolist())
+    out = np.empty(len(words), np.int32)
+    out[at] = topic
     return out
 
 
+def _sweep_few(reach: list[int], word: list[int], topic: list[int], u: list[float], of_doc: list[list[float]], of_word: list[list[float]], of_topic: list[float]) -> list[int]:
+    """As the positions before, in the same order of every sum, token by token: for positions that few documents reach."""
+    last, start = len(of_topic) - 1, 0
+    rows = [of_word[w] for w in word]
+    for active in reach:
+        end = start + active
+        drawn = []
+        for d, c, k, x in zip(of_doc, rows[start:end], topic[start:end], u[start:end]):
+            p = [a * b / t for a, b, t in zip(d, c, of_topic)]
+            p[k] = (d[k] - 1) * (c[k] - 1) / (of_topic[k] - 1)
+            upto = list(accumulate(p))
+            drawn.append(bisect_left(upto, x * upto[last], 0, last))
+        moved = [0] * (last + 1)
+        for d, c, k in zip(of_doc, rows[start:end], topic[start:end]):
+            d[k] -= 1
+            c[k] -= 1
+            moved[k] -= 1
+        for d, c, k in zip(of_doc, rows[start:end], drawn):
+            d[k] += 1
+            c[k] += 1
+            moved[k] += 1
+        of_topic = [t + m for t, m in zip(of_topic, moved)]
+        topic[start:end] = drawn
+        start = end
+    return topic
+
+
+def _tally(words: np.ndarray, topics: np.ndarray, n_topics: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a block, where each begins among their counts, and these: topics and tokens of them."""
+    key, n = np.unique(words.astype(np.int64) * n_topics + topics, return_counts=True)
+    ids, starts = np.unique(key // n_topics, return_index=True)
+    return ids.astype(np.int32), starts.astype(np.int32), (key % n_topics).astype(np.int32), n.astype(np.int32)
+
+
 def block_counts(words: list[np.ndarray], topics: list[np.ndarray], n_topics: int) -> pd.DataFrame:
     """``word_id, first, second`` of the documents of a block."""
-    key, n = np.unique(np.concatenate(words).astype(np.int64) * n_topics + np.concatenate(topics), return_counts=True)
-    ids, starts = np.unique(key // n_topics, return_index=True)
-    return pd.DataFrame({"word_id": ids.astype(np.int32), "first": np.split((key % n_topics).astype(np.int32), starts[1:]), "second": np.split(n.astype(np.int32), starts[1:])})
+    ids, starts, first, second = _tally(np.concatenate(words), np.concatenate(topics), n_topics)
+    return pd.DataFrame({"word_id": ids, "first": np.split(first, starts[1:]), "second": np.split(second, starts[1:])})
 
 
 def parallel_sweep(state: DataFrame, n_words: int, alpha: Sequence[float], beta: float, seed: int, sweep: int, n_blocks: int, chunked: bool) -> DataFrame:
@@ -204,17 +280,28 @@ def parallel_sweep(state: DataFrame, n_words: int, alpha: Sequence[float], beta:
         elsewhere = F.col("elsewhere")
     alpha = [float(a) for a in alpha]
 
-    def run(key: tuple, held: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        topics = sweep_block(held, known, totals, alpha, beta, n_words, seed, sweep)
-        block = np.int32(key[0])
-        swept = held[["doc_id", "chunk", "first"]].assign(block=block, word_id=None, second=topics)
-        tally = block_counts(list(held["first"]), topics, n_topics).assign(block=block, doc_id=None, chunk=None)
-        columns = ["block", "doc_id", "chunk", "word_id", "first", "second"]
-        kinds = {"doc_id": "Int64", "chunk": "Int32", "word_id": "Int32"}
-        return pd.concat([swept[columns].astype(kinds), tally[columns].astype(kinds)])
+    def run(key: tuple, held: pa.Table, known: pa.Table) -> pa.Table:
+        numbers = lambda t, name: t[name].combine_chunks().to_numpy(zero_copy_only=False)
+        flat = lambda t, name: pc.list_flatten(t[name]).combine_chunks().to_numpy(zero_copy_only=False)
+        lengths = lambda t: pc.list_value_length(t["first"]).combine_chunks().to_numpy(zero_copy_only=False)
+        more = {i: np.asarray(x) for i, x in enumerate(held["elsewhere"].to_pylist()) if x is not None} if chunked else {}
+        words, length = flat(held, "first"), lengths(held)
+        topics = sweep_tokens(numbers(held, "doc_id"), numbers(held, "chunk"), length, words, flat(held, "second"), more, numbers(known, "word_id"), lengths(known), flat(known, "first"), flat(known, "second"), totals, alpha, beta, n_words, seed, sweep)
+        ids, starts, first, second = _tally(words, topics, n_topics)
+        ends = np.r_[0, np.cumsum(length), len(words) + np.r_[starts[1:], len(first)]].astype(np.int32)
+        lists = lambda *parts: pa.ListArray.from_arrays(ends, np.concatenate(parts).astype(np.int32))
+        none = lambda n, kind: pa.nulls(n, kind)
+        joined = lambda one, other: pa.concat_arrays([one, other])
+        return pa.table({
+            "block": pa.array(np.full(len(length) + len(ids), key[0].as_py(), np.int32)),
+            "doc_id": joined(held["doc_id"].combine_chunks(), none(len(ids), pa.int64())),
+            "chunk": joined(held["chunk"].combine_chunks(), none(len(ids), pa.int32())),
+            "word_id": joined(none(len(length), pa.int32()), pa.array(ids)),
+            "first": lists(words, first), "second": lists(topics, second),
+        })
 
     # few bytes but much work: one partition for each block or two, up to as many as a shuffle has
     spark = state.sparkSession
     partitions = min(2 * n_blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))
     left = docs.select("block", "doc_id", "chunk", "first", "second", elsewhere.alias("elsewhere")).repartition(partitions, "block").groupBy("block")
-    return left.cogroup(words.groupBy("of_block")).applyInPandas(run, STATE)
+    return left.cogroup(words.groupBy("of_block")).applyInArrow(run, STATE)

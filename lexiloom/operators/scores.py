@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.binding import let
-from lexiloom.operators.counts import assigned, count_vectors, document_topic_counts, topic_totals, word_topic_counts
-from lexiloom.operators.joins import split_join
+from lexiloom.operators.counts import count_vectors, document_topic_counts, totals_of, word_topic_counts
 from lexiloom.operators.ordering import dense_ids
 from lexiloom.storage import materialise, shuffled
 
@@ -20,11 +19,16 @@ def phi_vectors(corpus: DataFrame, dictionary: DataFrame, n_topics: int, beta: f
     ``mean_log`` is the mean logarithm of phi over the topics, taken from the counts in ascending order:
     words of equal counts have the same one to the last bit, whichever topics hold them.
     """
+    return phi_vectors_of(word_topic_counts(corpus), dictionary, n_topics, beta)
+
+
+def phi_vectors_of(word_counts: DataFrame, dictionary: DataFrame, n_topics: int, beta: float = 0.2) -> DataFrame:
+    """As :func:`phi_vectors`, of counts ``word_id, topic, n``."""
     n_words = dictionary.agg(F.count(F.lit(1)).alias("v")).scalar()
-    held = count_vectors(word_topic_counts(corpus), "word_id", n_topics)
+    held = count_vectors(word_counts, "word_id", n_topics)
     full = shuffled(dictionary.select("word_id"), "word_id").join(held, "word_id", "left")
     # without assigned tokens the totals are null
-    total = F.coalesce(topic_totals(corpus, n_topics), F.array_repeat(F.lit(0).cast("long"), n_topics))
+    total = F.coalesce(totals_of(word_counts, n_topics), F.array_repeat(F.lit(0).cast("long"), n_topics))
     full = full.select("word_id", F.coalesce("counts", F.array_repeat(F.lit(0).cast("long"), n_topics)).alias("n"))
     added = lambda ns, more: F.aggregate(ns, F.lit(0.0), lambda s, n: s + F.ln(n + more))
     # the denominators and their logarithms are the same for all words: a table of one row
@@ -138,21 +142,19 @@ def topic_display(nested: DataFrame) -> DataFrame:
 def assigned_perplexity(corpus: DataFrame, n_words: Column | int, alpha: Sequence[float], beta: float = 0.2) -> DataFrame:
     """One row ``perplexity``: exp of minus the mean log of phi theta at each token's own topic; null without tokens.
 
-    Tokens that share word, document and topic share their term: the mean is taken
-    over (document, word, topic) with weights.
+    The logarithm of a product is a sum, so words and documents are added up apart.
     """
-    rows = assigned(corpus).groupBy("doc_id", "word_id", "topic").agg(F.count(F.lit(1)).alias("w"))
-    n_dk = rows.groupBy("doc_id", "topic").agg(F.sum("w").alias("n_dk"))
-    n_d = Window.partitionBy("doc_id")
-    n_dk = n_dk.withColumn("n_d", F.sum("n_dk").over(n_d))
-    n_wk = rows.groupBy("word_id", "topic").agg(F.sum("w").alias("n_wk"))
-    n_k = rows.groupBy("topic").agg(F.sum("w").alias("n_k"))
+    return perplexity_of(word_topic_counts(corpus), document_topic_counts(corpus), n_words, alpha, beta)
+
+
+def perplexity_of(word_counts: DataFrame, doc_counts: DataFrame, n_words: Column | int, alpha: Sequence[float], beta: float = 0.2) -> DataFrame:
+    """As :func:`assigned_perplexity`, of counts ``word_id, topic, n`` and ``doc_id, topic, n``."""
     weight = F.element_at(F.array(*map(F.lit, map(float, alpha))), F.col("topic") + 1)
-    pair = lambda df, key, *kept: df.select(F.struct(key, "topic").alias(f"{key}_topic"), *kept)
-    full = split_join(rows.withColumns({f"{key}_topic": F.struct(key, "topic") for key in ("doc_id", "word_id")}), pair(n_dk, "doc_id", "n_dk", "n_d"), "doc_id_topic")
-    full = split_join(full, pair(n_wk, "word_id", "n_wk"), "word_id_topic").join(n_k, "topic")
-    p = (F.col("n_wk") + F.lit(beta)) / (F.col("n_k") + F.lit(beta) * n_words) * (F.col("n_dk") + weight) / (F.col("n_d") + F.lit(float(sum(alpha))))
-    return full.agg(F.exp(-F.try_divide(F.sum(F.col("w") * F.ln(p)), F.sum("w"))).alias("perplexity"))
+    of_topic = word_counts.groupBy("topic").agg(F.sum("n").alias("n_k"), F.sum(F.col("n") * F.ln(F.col("n") + F.lit(beta))).alias("s"))
+    words = of_topic.agg(F.sum(F.col("s") - F.col("n_k") * F.ln(F.col("n_k") + F.lit(beta) * n_words)).alias("log_phi"), F.sum("n_k").alias("n"))
+    of_doc = doc_counts.groupBy("doc_id").agg(F.sum("n").alias("n_d"), F.sum(F.col("n") * F.ln(F.col("n") + weight)).alias("s"))
+    docs = of_doc.agg(F.sum(F.col("s") - F.col("n_d") * F.ln(F.col("n_d") + F.lit(float(sum(alpha))))).alias("log_theta"))
+    return words.crossJoin(docs).select(F.exp(-F.try_divide(F.col("log_phi") + F.col("log_theta"), F.col("n"))).alias("perplexity"))
 
 
 def accumulate(samples: Sequence[DataFrame], keys: Sequence[str], value: str) -> DataFrame:

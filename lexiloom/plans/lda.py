@@ -127,7 +127,8 @@ class Model:
     def perplexity(self) -> float | None:
         """Of the current counts, at each token's own topic; None without tokens."""
         n_words = self.dictionary.count()
-        return scores.assigned_perplexity(self.corpus(), n_words, self.alpha, self.beta).first()["perplexity"]
+        by_doc = counts.document_topic_counts(gibbs.state_topics(self.state))
+        return scores.perplexity_of(gibbs.state_word_counts(self.state), by_doc, n_words, self.alpha, self.beta).first()["perplexity"]
 
     def mean_length(self) -> float:
         lengths = counts.document_lengths(self.corpus(), self.doc_index)
@@ -174,7 +175,7 @@ def new_model(corpus: Corpus, n_topics: int, seed: int = 0) -> Model:
 
 def optimised_alpha(model: Model) -> tuple[float, ...]:
     """The prior after the usual iterations."""
-    corpus = model.corpus()
+    corpus = gibbs.state_topics(model.state)
     lengths = counts.length_histogram(counts.document_lengths(corpus, model.doc_index))
     held = counts.document_topic_counts(corpus).groupBy("topic", "n").agg(F.count(F.lit(1)).alias("n_docs"))
     by_topic: list[dict[int, int]] = [{} for _ in model.alpha]
@@ -185,10 +186,9 @@ def optimised_alpha(model: Model) -> tuple[float, ...]:
 
 def sampled(model: Model) -> Model:
     """One more sample of phi and theta."""
-    corpus = model.corpus()
     new = {
-        "phi": scores.phi_vectors(corpus, model.dictionary, model.n_topics, model.beta).drop("mean_log"),
-        "theta": scores.theta_vectors(corpus, model.doc_index, model.alpha),
+        "phi": scores.phi_vectors_of(gibbs.state_word_counts(model.state), model.dictionary, model.n_topics, model.beta).drop("mean_log"),
+        "theta": scores.theta_vectors(gibbs.state_topics(model.state), model.doc_index, model.alpha),
     }
     sums = {}
     for value, rows in new.items():

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import time
+from collections import Counter
 from itertools import accumulate
 from pathlib import Path
 
@@ -13,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexiloom.functions.rng import uniform, uniform_int
+from lexiloom.functions.rng import uniform, uniform_int, uniforms, uniforms_of
 from lexiloom.operators import alpha as prior
 from lexiloom.operators import counts as C
 from lexiloom.operators import generate
@@ -216,6 +218,58 @@ def test_kernel_against_brute_force(texts, seed):
     assert sum(int(x.sum()) for x in tally["second"]) == sum(map(len, texts))
 
 
+@pytest.mark.parametrize("few", [0, 24, 10**9])
+@pytest.mark.parametrize("n_topics", [1, 3, 20])
+def test_positions_that_few_documents_reach(monkeypatch, few, n_topics):
+    monkeypatch.setattr(G, "FEW_WEIGHTS", few)
+    rng = np.random.default_rng(n_topics)
+    alpha = [0.1 + k / 7 for k in range(n_topics)]
+    docs = [(3 * j, 0, rng.integers(0, 6, n).tolist(), rng.integers(0, n_topics, n).tolist(), None) for j, n in enumerate([1, 90, 5, 5, 33, 2, 1, 7])]
+    of_word = {w: [sum((v, z) == (w, k) for _, _, ws, ts, _ in docs for v, z in zip(ws, ts)) for k in range(n_topics)] for w in range(6)}
+    totals = np.sum([*of_word.values()], axis=0).tolist()
+    frame = pd.DataFrame([(d, c, np.array(w), np.array(t), e) for d, c, w, t, e in docs], columns=["doc_id", "chunk", "first", "second", "elsewhere"])
+    words = pd.DataFrame([(w, np.flatnonzero(c), np.array(c)[np.flatnonzero(c)]) for w, c in of_word.items()], columns=["word_id", "first", "second"])
+    got = G.sweep_block(frame, words, totals, alpha, 0.2, 6, 4, 2)
+    assert [x.tolist() for x in got] == brute_sweep(docs, totals, of_word, alpha, 0.2, 6, 4, 2)
+
+
+def test_numbers_hashed_together():
+    prefixes = [f"{s}:{d}" for s in (0, -3, 2**62) for d in (0, -7, 123_456_789, 2**63 - 1)] + ["x" * 50, "\u00e9"]
+    for chosen, counts in ((prefixes, [0, 1, 2, 9, 10, 11, 99, 100, 101, 1000, 17_000, 3, 4, 5]), (prefixes[:9], [65_536, 0, 1, 12, 100, 7, 10, 9, 1]), (prefixes[:2], [0, 0])):
+        assert uniforms_of(chosen, counts).tolist() == [u for p, n in zip(chosen, counts) for u in uniforms(p, n)]
+
+
+def test_time_of_a_long_document():
+    # before, every position cost some forty times its number
+    n = 20_000
+    docs = pd.DataFrame({"doc_id": [1], "chunk": [0], "first": [np.arange(n) % 50], "second": [np.arange(n) % 3], "elsewhere": [None]})
+    words = pd.DataFrame({"word_id": range(50), "first": [np.arange(3)] * 50, "second": [np.full(3, n // 50)] * 50})
+
+    def seconds(f):
+        times = []
+        for _ in range(3):
+            began = time.perf_counter()
+            f()
+            times.append(time.perf_counter() - began)
+        return min(times)
+
+    assert seconds(lambda: G.sweep_block(docs, words, [n] * 3, [0.1] * 3, 0.2, 50, 1, 1)) < 12 * seconds(lambda: uniforms("1:1:1:0", n))
+
+
+def test_perplexity_counts_words_and_documents_apart(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(G, "CHUNK", 40)
+    rng = random.Random(4)
+    model = lda.new_model(Pipeline.noop().run_texts(spark, [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 130))) for _ in range(40)]), 3, seed=2)
+    rows = model.corpus().collect()
+    wk, dk, k, d = (Counter(f(r) for r in rows) for f in (lambda r: (r["word_id"], r["topic"]), lambda r: (r["doc_id"], r["topic"]), lambda r: r["topic"], lambda r: r["doc_id"]))
+    logs = [math.log((wk[r["word_id"], r["topic"]] + 0.2) / (k[r["topic"]] + 0.2 * 8) * (dk[r["doc_id"], r["topic"]] + 0.1) / (d[r["doc_id"]] + 0.3)) for r in rows]
+    assert abs(model.perplexity() - math.exp(-sum(logs) / len(rows))) < 1e-9
+    n_words = model.dictionary.count()
+    plan = S.assigned_perplexity(model.corpus(), n_words, model.alpha, model.beta)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate [" in x and "doc_id" in x and "word_id" in x]
+
+
 def test_sweeps_do_not_depend_on_partitions(spark, monkeypatch):
     from dataclasses import replace
 
